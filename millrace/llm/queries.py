@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format
+from . import byte_bpe, chat_format
 
 QUERIES = {
     "op4_chat_format": chat_format.op4,
+    "op8_byte_bpe": byte_bpe.op8,
 }
 
 ORACLE_SQL = {
