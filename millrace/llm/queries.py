@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format
+from . import byte_bpe, chat_format, token_shards
 
 QUERIES = {
     "op4_chat_format": chat_format.op4,
+    "op5_token_shards": token_shards.op5,
     "op8_byte_bpe": byte_bpe.op8,
 }
 

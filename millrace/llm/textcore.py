@@ -46,8 +46,8 @@ class Packed:
         np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)), out=self.bounds[1:])
         self.cps = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), np.uint32)
 
-    def runs(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the maximal runs of True that cross no text's bounds."""
+    def runs(self, inside: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the maximal runs of True that cross no text's bounds, and no True of ``cut``."""
         n = len(inside)
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -57,6 +57,9 @@ class Packed:
         last = np.empty(n, bool)
         last[-1] = True
         np.logical_not(inside[1:], out=last[:-1])
+        if cut is not None:
+            first |= cut
+            last[:-1] |= cut[1:]
         edges = self.bounds[:-1]
         first[edges[edges < n]] = True
         edges = self.bounds[1:]
