@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, token_shards
+from . import byte_bpe, chat_format, token_shards, warc
 
 QUERIES = {
     "op4_chat_format": chat_format.op4,
     "op5_token_shards": token_shards.op5,
     "op8_byte_bpe": byte_bpe.op8,
+    "op10_warc": warc.op10,
 }
 
 ORACLE_SQL = {
     "op4_chat_format": chat_format.OP4_SQL,
+    "op10_warc": warc.OP10_SQL,
 }
