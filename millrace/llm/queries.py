@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, token_shards, warc
+from . import byte_bpe, chat_format, quality, token_shards, warc
 
 QUERIES = {
     "op4_chat_format": chat_format.op4,
     "op5_token_shards": token_shards.op5,
+    "op6_quality": quality.op6,
     "op8_byte_bpe": byte_bpe.op8,
     "op10_warc": warc.op10,
 }
