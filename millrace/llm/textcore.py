@@ -121,22 +121,31 @@ def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class SpanCache:
     """Distinct spans and what was computed for them: several ragged arrays, one row a span.
 
-    At most ``limit`` spans stay; at that size the cache starts anew, so memory is bounded for any vocabulary.
+    At most about ``limit`` spans stay: beyond it, the half that most slices had stays, so memory is bounded for any
+    vocabulary. What is dropped is computed again when met.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list[tuple[np.ndarray, np.ndarray]]], limit: int = 200_000):
+    def __init__(self, compute: Callable[[list[str]], list[tuple[np.ndarray, np.ndarray]]], limit: int = 250_000):
         self.compute, self.limit = compute, limit
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[int, int] = {}
+        self.hashes, self.hits = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
 
+    def shrink(self) -> None:
+        keep = np.sort(np.argsort(-self.hits, kind="stable")[: self.limit // 2])
+        got = [self.gather(k, keep) for k in range(len(self.parts or ()))]
+        self.hashes, self.hits = self.hashes[keep], self.hits[keep] // 2
+        self.index = dict(zip(self.hashes.tolist(), range(len(keep))))
+        self.parts = [(np.cumsum(n) - n, n, flat) for n, flat in got]
+
     def rows(self, pack: Packed, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The cache's row of each span; rows hold until the next call."""
         values, where, codes = distinct(pack.span_hash(starts, ends))
         if len(self.index) > self.limit:
-            self.clear()
+            self.shrink()
         found = np.fromiter(map(self.index.get, values.tolist(), [-1] * len(values)), np.int64, len(values))
         missing = np.flatnonzero(found < 0)
         if len(missing):
@@ -146,6 +155,8 @@ class SpanCache:
             first = len(self.index)
             found[missing] = np.arange(first, first + len(missing))
             self.index.update(zip(values[missing].tolist(), range(first, first + len(missing))))
+            self.hashes = np.concatenate([self.hashes, values[missing]])
+            self.hits = np.concatenate([self.hits, np.zeros(len(missing), np.int64)])
             got = self.compute(new)
             if self.parts is None:
                 self.parts = [(np.cumsum(n) - n, n, flat) for n, flat in got]
@@ -154,6 +165,7 @@ class SpanCache:
                     (np.concatenate([offs, np.cumsum(n) - n + len(old)]), np.concatenate([lens, n]), np.concatenate([old, flat]))
                     for (offs, lens, old), (n, flat) in zip(self.parts, got)
                 ]
+        self.hits[found] += 1
         return found[codes]
 
     def gather(self, k: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -89,6 +89,8 @@ def encode_texts(texts: list[str], name: str = TOKENIZER, end_id: int | None = E
     tail = np.array([] if end_id is None else [end_id], np.uint32)
     for _, _, pack in packed(texts):
         starts, ends = words(pack)
+        # The tokenizer lowers case, so words that differ in the case of ASCII letters alone share their ids.
+        pack.cps = np.where((pack.cps >= 65) & (pack.cps <= 90), pack.cps + np.uint32(32), pack.cps)
         rows = cache.rows(pack, starts, ends)
         n, ids = cache.gather(0, rows)
         stops = np.cumsum(sums_by_text(n, pack.counts(starts))) if len(rows) else np.zeros(len(pack.texts), np.int64)
