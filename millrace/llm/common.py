@@ -96,3 +96,22 @@ def text_or_empty(name: str):
 def wide_enough(spark: SparkSession, least: int = 1) -> int:
     """Partitions for a shuffle whose parts Python reads: the session's own setting."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, count: str, total: int, share: float = 0.001) -> DataFrame:
+    """``left`` with the columns of ``right`` (one row a key; null where none), safe for keys with many left rows.
+
+    ``count`` is right's column with the number of left rows of its key. Keys that have more than ``share`` of
+    ``total`` are at most 1 / share, so they are broadcast, and their left rows, which need no other partner, are
+    dealt out by a hash of the whole row; all other keys are joined by a shuffle in which none stands out.
+    """
+    names = [c for c in right.columns if c not in (key, count)]
+    hot_side = right.filter(F.col(count) > F.lit(total * share)).select(F.col(key), F.struct(*names, F.lit(True).alias("__known")).alias("__hot"))
+    cold_side = right.filter(F.col(count) <= F.lit(total * share)).select(F.col(key).alias("__cold_key"), F.struct(*names, F.lit(True).alias("__known")).alias("__cold"))
+    marked = left.join(F.broadcast(hot_side), key, "left")
+    # Left rows with a hot key get a negative salt in a column of its own; a cold row has salt 0 there.
+    marked = marked.withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.xxhash64(*left.columns)).otherwise(F.lit(0).cast("bigint")))
+    cold_side = cold_side.withColumn("__cold_salt", F.lit(0).cast("bigint"))
+    joined = marked.join(cold_side.hint("merge"), (F.col(key) == F.col("__cold_key")) & (F.col("__salt") == F.col("__cold_salt")), "left")
+    found = F.coalesce("__hot", "__cold")
+    return joined.select(*left.columns, *(found[n].alias(n) for n in names))

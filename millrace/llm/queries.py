@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, quality, token_shards, toxicity, warc
+from . import byte_bpe, chat_format, neardup, quality, token_shards, toxicity, warc
 
 QUERIES = {
     "op2_toxicity": toxicity.op2,
     "op4_chat_format": chat_format.op4,
     "op5_token_shards": token_shards.op5,
     "op6_quality": quality.op6,
+    "op7_minhash_neardup": neardup.op7,
     "op8_byte_bpe": byte_bpe.op8,
     "op10_warc": warc.op10,
 }

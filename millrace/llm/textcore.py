@@ -179,6 +179,7 @@ class SpanCache:
 
 def sums_by_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The sum of each text's stretch of values, given how many each text has."""
-    total = np.concatenate([[0], np.cumsum(values)])
+    sums = np.cumsum(values)
+    total = np.concatenate([np.zeros(1, sums.dtype), sums])
     ends = np.cumsum(counts)
     return total[ends] - total[ends - counts]
