@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, neardup, quality, token_shards, toxicity, warc
+from . import byte_bpe, chat_format, decontam, neardup, quality, token_shards, toxicity, warc
 
 QUERIES = {
     "op2_toxicity": toxicity.op2,
@@ -11,10 +11,12 @@ QUERIES = {
     "op6_quality": quality.op6,
     "op7_minhash_neardup": neardup.op7,
     "op8_byte_bpe": byte_bpe.op8,
+    "op9_decontamination": decontam.op9,
     "op10_warc": warc.op10,
 }
 
 ORACLE_SQL = {
     "op4_chat_format": chat_format.OP4_SQL,
+    "op9_decontamination": decontam.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
 }
