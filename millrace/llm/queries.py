@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, decontam, neardup, quality, token_shards, toxicity, warc
+from . import byte_bpe, chat_format, decontam, hamming, neardup, quality, token_shards, toxicity, warc
 
 QUERIES = {
     "op2_toxicity": toxicity.op2,
+    "op3_hamming_topk": hamming.op3,
     "op4_chat_format": chat_format.op4,
     "op5_token_shards": token_shards.op5,
     "op6_quality": quality.op6,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_hamming_topk": hamming.OP3_SQL,
     "op4_chat_format": chat_format.OP4_SQL,
     "op9_decontamination": decontam.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
