@@ -94,8 +94,11 @@ def any_of_each(populated: Column, groups: list[list[str]]) -> Column:
     return out
 
 
-# Categories that need no cask, or no region.
-NO_CASK, NO_REGION = ("blended scotch whisky", "blended malt", "blended", "blended whiskey"), ("blended scotch whisky", "blended malt", "blended", "blended whiskey")
+# Categories that need neither a cask nor a region.
+BLENDS = (
+    "blended scotch whisky", "blended scotch", "blended whisky", "blended whiskey", "blended malt",
+    "blended malt scotch whisky", "blended grain whisky", "canadian whisky", "canadian whiskey",
+)
 
 
 def gate_v3(populated: Column, coverage: Column, category: Column, style: Column, rules: dict) -> Column:
@@ -110,7 +113,7 @@ def gate_v3(populated: Column, coverage: Column, category: Column, style: Column
 
     def required(name: str, cask: bool) -> Column:
         fields = rules[name]
-        out = F.when(low.isin(*NO_CASK) & low.isin(*NO_REGION), all_of(populated, without(fields, *(("primary_cask",) if cask else ()), "region")))
+        out = F.when(low.isin(*BLENDS), all_of(populated, without(fields, *(("primary_cask",) if cask else ()), "region")))
         return out.otherwise(all_of(populated, fields))
 
     aged = [g for g in rules["baseline_or"] if {"indication_age", "harvest_year"} & set(g)]
