@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read_table
-from .textcore import Packed, SpanCache, packed, sums_by_text, texts_of
+from .common import map_arrow, read_table, worker_resource
+from .textcore import Packed, SpanCache, packed, sums_by_text, text_slices
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Words given to DuckDB at a time.
@@ -168,9 +168,8 @@ class Coder:
         return [(n_ids, ids), (n_bytes, back)]
 
 
-@lru_cache(maxsize=1)
 def worker_cache(name: str) -> SpanCache:
-    return SpanCache(Coder(name))
+    return worker_resource(("byte-bpe", name), lambda: SpanCache(Coder(name)))
 
 
 def encode_texts(texts: list[str], name: str = RANKS) -> Iterator[tuple[np.ndarray, bytes]]:
@@ -201,28 +200,28 @@ def encode(docs: DataFrame, name: str = RANKS) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                got = list(encode_texts(texts_of(rows.column("text")), name))
+            for at, texts in text_slices(batch):
+                rows = batch.slice(at, len(texts))
+                got = list(encode_texts(texts, name))
                 offsets = np.zeros(len(got) + 1, np.int32)
                 np.cumsum([len(x) for x, _ in got], out=offsets[1:])
                 flat = np.concatenate([x for x, _ in got]).astype(np.int32) if got else np.zeros(0, np.int32)
                 arrays = [*rows.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([b for _, b in got], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*rows.schema.names, "ids", "decoded"])
 
-    return plain.mapInArrow(run, out)
+    return map_arrow(plain, run, out)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches):
         for batch in batches:
-            texts = texts_of(batch.column("text"))
             n, ids_hex, back_hex = [], [], []
-            for ids, back in encode_texts(texts):
-                n.append(len(ids))
-                ids_hex.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                back_hex.append(hashlib.sha256(back).hexdigest())
+            for _, texts in text_slices(batch):
+                for ids, back in encode_texts(texts):
+                    n.append(len(ids))
+                    ids_hex.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                    back_hex.append(hashlib.sha256(back).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(back_hex, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(docs, run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table ``name`` of an input folder, through Spark's reader so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,13 +38,58 @@ def new_dir(spark: SparkSession, what: str) -> str:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: its lineage ends there."""
+    """``df`` written as Parquet to the shared folder and read again: its lineage ends there.
+
+    While it is written, Python tasks get their rows in small batches, as a batch stands in memory on both sides.
+    """
     spark = df.sparkSession
     path = new_dir(spark, what)
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_ROWS, "10000")
+    spark.conf.set(BATCH_ROWS, str(min(int(before), 1000) if int(before) > 0 else 1000))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` whose tasks give free memory back to the system when they end.
+
+    Python workers are kept for later tasks, and would hold on to what their largest slice took.
+    """
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(task, schema)
+
+
+def release() -> None:
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+_held: dict = {}
+
+
+def worker_resource(key, make):
+    """What ``make()`` gave in this process for ``key``; one such thing is held at a time, whatever operator it is of."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def drop_dir(spark: SparkSession, path: str) -> None:
     """Delete a folder that ``new_dir`` or ``written`` made, through Hadoop's file systems."""
     jvm = spark.sparkContext._jvm
@@ -103,9 +151,12 @@ def lookup(left: DataFrame, right: DataFrame, key: str, count: str, total: int,
 
     ``count`` is right's column with the number of left rows of its key. Keys that have more than ``share`` of
     ``total`` are at most 1 / share, so they are broadcast, and their left rows, which need no other partner, are
-    dealt out by a hash of the whole row; all other keys are joined by a shuffle in which none stands out.
+    dealt out by a hash of the whole row; all other keys are joined by a shuffle in which none stands out. ``right``
+    is looked at first, so it should be a written table.
     """
     names = [c for c in right.columns if c not in (key, count)]
+    if right.filter(F.col(count) > F.lit(total * share)).isEmpty():
+        return left.join(right.drop(count), key, "left").select(*left.columns, *names)
     hot_side = right.filter(F.col(count) > F.lit(total * share)).select(F.col(key), F.struct(*names, F.lit(True).alias("__known")).alias("__hot"))
     cold_side = right.filter(F.col(count) <= F.lit(total * share)).select(F.col(key).alias("__cold_key"), F.struct(*names, F.lit(True).alias("__known")).alias("__cold"))
     marked = left.join(F.broadcast(hot_side), key, "left")

@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import map_arrow, read_table, written
 from .shingles import shingles
-from .textcore import packed, texts_of
+from .textcore import packed, text_slices, texts_of
 
 LEAST = 0.8
 ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 64 << 20
@@ -68,7 +68,7 @@ def item_shingles(items: DataFrame) -> DataFrame:
                     done += 1
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.binary())], names=["item_id", "shingles"])
 
-    return items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").mapInArrow(run, "item_id bigint, shingles binary")
+    return map_arrow(items.select(F.col("item_id").cast("bigint").alias("item_id"), "text"), run, "item_id bigint, shingles binary")
 
 
 class Index:
@@ -160,13 +160,13 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> Dat
         def run(batches):
             for batch in batches:
                 index, ids = shared.value, batch.column("doc_id").to_pylist()
-                rows = [(ids[t], index.ids[k], n, len(index.sets[k])) for t, k, n in index.matches(texts_of(batch.column("text")), least)]
+                rows = [(ids[at + t], index.ids[k], n, len(index.sets[k])) for at, texts in text_slices(batch) for t, k, n in index.matches(texts, least)]
                 columns = list(zip(*rows)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "n_shared", "n_item"])
 
         return run
 
-    parts = [plain.mapInArrow(finder(shared), schema) for shared in index_groups(items)]
+    parts = [map_arrow(plain, finder(shared), schema) for shared in index_groups(items)]
     found = parts[0] if parts else docs.sparkSession.createDataFrame([], schema)
     for part in parts[1:]:
         found = found.unionByName(part)
@@ -180,13 +180,13 @@ def clean(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
         def run(batches):
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                keep[[t for t, _, _ in shared.value.matches(texts_of(batch.column("text")), least)]] = False
+                keep[[at + t for at, texts in text_slices(batch) for t, _, _ in shared.value.matches(texts, least)]] = False
                 yield batch.filter(pa.array(keep))
 
         return run
 
     for shared in index_groups(items):
-        docs = docs.mapInArrow(dropper(shared), docs.schema)
+        docs = map_arrow(docs, dropper(shared), docs.schema)
     return docs
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import map_arrow, read_table, written
 
 K, SEGMENTS, QUERY_EACH = 10, 4, 50
 BLOCK_CODES, QUERY_CODES = 1 << 18, 4096
@@ -139,7 +139,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         by_length: dict[int, list[str]] = {}
         for r in some:
             by_length.setdefault(len(r["code"]), []).append(r["code"])
-        parts.append(dealt.mapInArrow(block_search(spark.sparkContext.broadcast(by_length), k), "code string, id bigint, distance int"))
+        parts.append(map_arrow(dealt, block_search(spark.sparkContext.broadcast(by_length), k), "code string, id bigint, distance int"))
     met = parts[0]
     for part in parts[1:]:
         met = met.unionByName(part)
@@ -156,9 +156,10 @@ def smallest(rows: DataFrame, key: str, value: str, k: int) -> DataFrame:
 
 def block_search(shared, k: int):
     def run(batches):
-        table = pa.Table.from_batches(list(batches)) if batches is not None else None
-        if table is None or not table.num_rows:
+        got = [b for b in batches if b.num_rows]
+        if not got:
             return
+        table = pa.Table.from_batches(got)
         lengths = table.column("bits").to_numpy()
         for bits, queries in sorted(shared.value.items()):
             here = np.flatnonzero(lengths == bits)

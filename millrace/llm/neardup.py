@@ -10,9 +10,12 @@ to their weighted Jaccard similarity. A process is left as soon as its time is p
 Candidates. Rows of components make bands; texts that agree on a band share a bucket. Copies (equal multisets) count
 as one node before that, by an aggregation. In each bucket all nodes are paired with one hub, so pairs grow with the
 input and not with a group's square; a pair's multiset overlap is verified exactly on 64-bit shingle hashes. Verified
-links give components. In buckets that still hold several components, up to ``HUBS`` nodes outside the largest
-component are further hubs for the nodes of other components, round by round, until every pair of nodes in one bucket
-and in different components was verified: no link between components is lost.
+links give components. Texts that share a common passage meet in large buckets although they are far apart; nodes of
+buckets with over ``LARGE`` rows and several components get finer bands from a second, independent signature, and meet
+in those instead. In buckets that then still hold several components, all pairs of nodes of different components are
+compared inside tasks, in blocks of at most ``BLOCK`` x ``BLOCK`` nodes, first by sketches and then, for nodes that a
+sketch left a partner, by their multisets. Only links leave a task, fewer than it has nodes, and pairs of two nodes of
+a bucket's largest component aren't looked at, so no link between components is lost and no list of pairs is made.
 
 Everything stays in DataFrames: links, components and buckets are never collected. Keys with many rows (copies,
 common buckets) are aggregated first and joined by ``lookup``. Rounds end in tables in the shared folder.
@@ -32,13 +35,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup, read_table, written
+from .common import lookup, map_arrow, read_table, written
 from .shingles import shingles
-from .textcore import mix, packed, sums_by_text, texts_of
+from .textcore import Packed, mix, sums_by_text, text_slices
 
 BANDS, ROWS, LEAST = 25, 5, 0.8
-HUBS = 32
-SLICE_TEXTS = 400
+#: Pairs whose sketches agree on less than ``least`` - SLACK of the components aren't looked at further: that is over
+#: five standard deviations below what the similarity gives.
+SLACK = 0.2
+#: Buckets with more open rows are split by finer bands.
+LARGE, FINE_BANDS, FINE_ROWS = 64, 40, 10
+#: Links that one task contracts.
+LINKS = 500_000
+#: Nodes of a bucket that a task compares with as many others.
+BLOCK = 256
 _SEED = np.uint64(0xA0761D6478BD642F)
 _ODD = np.uint64(0xE7037ED1A0B428DB)
 
@@ -106,27 +116,26 @@ def weighted_items(items: np.ndarray, of: np.ndarray, weight: np.ndarray) -> tup
 
 
 def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, key, n, bands): the multiset's identity, its size, and its band hashes, from (doc_id, text)."""
+    """(doc_id, key, n, bands, sketch) from (doc_id, text): the multiset's identity and size, its band hashes, and a
+    byte of each component of its signature."""
 
     def run(batches):
         for batch in batches:
-            texts = [t.lower() for t in texts_of(batch.column("text"))]
-            raw = texts_of(batch.column("text"))
-            ids, done = batch.column("doc_id"), 0
-            for i in range(0, len(texts), SLICE_TEXTS):
-                for _, _, pack in packed(texts[i : i + SLICE_TEXTS]):
-                    hashes, counts = shingles(pack)
-                    items, of, weight = multisets(hashes, counts)
-                    found = band_hashes(bag_signatures(items, of, weight, len(counts), bands * rows), bands, rows)
-                    one, two = (sums_by_text(mix(hashes ^ c), counts) for c in (_SEED, _ODD))
-                    keys = [f"{a:016x}{b:016x}{n}" if n else "=" + hashlib.sha256(raw[done + j].encode("utf-8", "surrogatepass")).hexdigest() for j, (a, b, n) in enumerate(zip(one.tolist(), two.tolist(), counts.tolist()))]
-                    offsets = np.zeros(len(counts) + 1, np.int32)
-                    np.cumsum(np.where(counts > 0, bands, 0), out=offsets[1:])
-                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[counts > 0].ravel()))
-                    yield pa.RecordBatch.from_arrays([ids.slice(done, len(counts)), pa.array(keys), pa.array(counts), lists], names=["doc_id", "key", "n", "bands"])
-                    done += len(counts)
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, key string, n bigint, bands array<bigint>")
+            for at, raw in text_slices(batch):
+                pack = Packed([t.lower() for t in raw])
+                hashes, counts = shingles(pack)
+                items, of, weight = multisets(hashes, counts)
+                signatures = bag_signatures(items, of, weight, len(counts), bands * rows)
+                found = band_hashes(signatures, bands, rows)
+                one, two = (sums_by_text(mix(hashes ^ c), counts).tolist() for c in (_SEED, _ODD))
+                keys = [f"{a:016x}{b:016x}{n}" if n else "=" + hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for a, b, n, t in zip(one, two, counts.tolist(), raw)]
+                offsets = np.zeros(len(counts) + 1, np.int32)
+                np.cumsum(np.where(counts > 0, bands, 0), out=offsets[1:])
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[counts > 0].ravel()))
+                sketch = pa.array([x.tobytes() for x in mix(signatures).astype(np.uint8)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(raw)), pa.array(keys), pa.array(counts), lists, sketch], names=["doc_id", "key", "n", "bands", "sketch"])
+
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id bigint, key string, n bigint, bands array<bigint>, sketch binary")
 
 
 def multiset_table(docs: DataFrame) -> DataFrame:
@@ -134,29 +143,46 @@ def multiset_table(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [t.lower() for t in texts_of(batch.column("text"))]
-            ids, done = batch.column("doc_id"), 0
-            for _, _, pack in packed(texts):
-                each, of = weighted_items(*multisets(*shingles(pack)))
+            for at, raw in text_slices(batch):
+                each, of = weighted_items(*multisets(*shingles(Packed([t.lower() for t in raw]))))
                 order = np.lexsort((each, of))
-                stops = np.searchsorted(of[order], np.arange(len(pack.texts) + 1))
+                stops = np.searchsorted(of[order], np.arange(len(raw) + 1))
                 data = each[order]
                 values = [data[a:b].tobytes() for a, b in zip(stops[:-1], stops[1:])]
-                yield pa.RecordBatch.from_arrays([ids.slice(done, len(values)), pa.array(values, pa.binary())], names=["node", "items"])
-                done += len(values)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(raw)), pa.array(values, pa.binary())], names=["node", "items"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node bigint, items binary")
+    return map_arrow(docs.select("doc_id", "text"), run, "node bigint, items binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
+def similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of at least ``least``."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or len(x) < least * len(y) - 1e-9:
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return both >= least * (len(x) + len(y) - both) - 1e-9
+
+
+def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
     """The (node, hub) pairs whose multisets have a weighted Jaccard similarity of at least ``least``.
 
-    A hub with many partners is sent to as many places as it has multiples of 500 partners.
+    Sketches go first, multisets decide. A hub with many partners is sent to as many places as it has multiples of
+    500 partners.
     """
-    degree = written(pairs.groupBy("hub").count().withColumn("salts", (F.col("count") / 500).cast("int") + 1), "pair-degree")
-    total = pairs.count()
-    left = lookup(pairs, degree, "hub", "count", total).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
-    left = left.join(sets, "node").select("node", "hub", "salt", "items")
+    degree = pairs.groupBy("hub").count().withColumn("salts", (F.col("count") / 500).cast("int") + 1)
+    degree = written(degree.join(sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub"), "pair-degree")
+    left = lookup(pairs, degree, "hub", "count", pairs.count()).join(sketches, "node")
+
+    def sieve(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch", "hub_sketch"))
+                keep = (a == b).sum(1) >= (least - SLACK) * a.shape[1]
+                yield batch.select(["node", "hub", "salts"]).filter(pa.array(keep))
+
+    left = map_arrow(left.select("node", "hub", "salts", "sketch", "hub_sketch"), sieve, "node bigint, hub bigint, salts int")
+    left = left.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).join(sets, "node").select("node", "hub", "salt", "items")
     hubs = degree.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     hubs = hubs.join(sets.select(F.col("node").alias("hub"), F.col("items").alias("hub_items")), "hub")
 
@@ -164,23 +190,46 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFra
         for batch in batches:
             keep = []
             for a, b in zip(batch.column("items"), batch.column("hub_items")):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
-                both = int((y[at] == x).sum()) if len(y) else 0
-                keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+                keep.append(similar(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), least))
             yield batch.select(["node", "hub"]).filter(pa.array(keep, pa.bool_()))
 
-    return left.join(hubs, ["hub", "salt"]).select("node", "hub", "items", "hub_items").mapInArrow(run, "node bigint, hub bigint")
+    return map_arrow(left.join(hubs, ["hub", "salt"]).select("node", "hub", "items", "hub_items"), run, "node bigint, hub bigint")
+
+
+def contracted(edges: DataFrame, parts: int) -> DataFrame:
+    """The same components from fewer links (a, b): each of ``parts`` tasks links its nodes to their smallest one."""
+
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                a, b = sorted((top(a), top(b)))
+                parent[b] = a
+        found = [(x, top(x)) for x in list(parent)]
+        columns = list(zip(*((x, t) for x, t in found if x != t))) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+    return map_arrow(edges.coalesce(parts), run, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node of the connected component, for every node of (node, hub) links.
 
-    In each round every label is replaced by the smallest label beside it, and the links between equal labels go.
+    Tasks of about ``LINKS`` links each first contract what they hold; if that takes one task, it is the result.
+    Otherwise, in each round, every label is replaced by the smallest label beside it, and links between equal labels
+    go. Nothing is collected.
     """
-    edges = written(links.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "cc-edges")
+    parts = max(1, -(-links.count() // LINKS))
+    edges = written(contracted(links.select(F.col("node").alias("a"), F.col("hub").alias("b")), parts), "cc-edges")
+    if parts == 1:
+        whole = edges.unionByName(edges.select(F.col("b").alias("a"), "b"))
+        return whole.select(F.col("a").alias("node"), F.col("b").alias("comp")).distinct()
     labels = None
     while labels is None or not edges.isEmpty():
         sides = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -197,6 +246,98 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
+def blocks(rows: DataFrame) -> DataFrame:
+    """Open rows with (i, j), the pairs of a bucket's blocks that they belong to.
+
+    A bucket of at most BLOCK rows is one block. In others, rows of the largest component and all other rows have
+    blocks of their own, numbered from 0 down and from 1 up; every block meets each of the others' blocks.
+    """
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK))).cast("int")
+    n_major, n_minor = parts(F.col("rows") - F.col("minor")), parts(F.col("minor"))
+    hashed = F.xxhash64("node")
+    own = F.when(F.col("comp") == F.col("major"), -F.pmod(hashed, n_major)).otherwise(1 + F.pmod(hashed, n_minor)).cast("int")
+    others = F.when(F.col("comp") == F.col("major"), F.sequence(F.lit(1), n_minor)).otherwise(F.sequence(1 - n_major, n_minor))
+    others = F.when(F.col("rows") <= BLOCK, F.array(F.lit(1))).otherwise(others)
+    own = F.when(F.col("rows") <= BLOCK, F.lit(1)).otherwise(own)
+    met = rows.withColumn("own", own).withColumn("other", F.explode(others))
+    return met.select("bucket", "node", "n", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def within(open_rows: DataFrame, sketches: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (node, hub) that join all components which verified pairs in the open buckets join."""
+
+    def partners(sketch: np.ndarray, n: np.ndarray, comp: np.ndarray, k: int) -> np.ndarray:
+        """Nodes after the k-th that may be similar to it and have another component."""
+        rest = slice(k + 1, None)
+        fit = (comp[rest] != comp[k]) & (np.minimum(n[rest], n[k]) >= least * np.maximum(n[rest], n[k]) - 1e-9)
+        at = np.flatnonzero(fit) + k + 1
+        return at[(sketch[at] == sketch[k]).sum(1) >= (least - SLACK) * sketch.shape[1]]
+
+    def arrays(group: pa.Table):
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(group.num_rows, -1)
+        return sketch, group.column("n").to_numpy(), group.column("comp").to_numpy()
+
+    def promising(group: pa.Table) -> pa.Table:
+        sketch, n, comp = arrays(group)
+        keep = np.zeros(group.num_rows, bool)
+        for k in range(group.num_rows - 1):
+            at = partners(sketch, n, comp, k)
+            keep[at] = True
+            keep[k] |= bool(len(at))
+        return group.select(["bucket", "i", "j", "node", "n", "comp"]).filter(pa.array(keep))
+
+    def links(group: pa.Table) -> pa.Table:
+        sketch, n, comp = arrays(group)
+        items = [np.frombuffer(x, np.uint64) for x in group.column("items").to_pylist()]
+        node, comp, found = group.column("node").to_numpy(), comp.copy(), []
+        for k in range(group.num_rows - 1):
+            for m in partners(sketch, n, comp, k).tolist():
+                if comp[m] != comp[k] and similar(items[k], items[m], least):
+                    found.append((max(node[k], node[m]), min(node[k], node[m])))
+                    comp[comp == comp[m]] = comp[k]
+        return pa.table({"node": pa.array([int(a) for a, _ in found], pa.int64()), "hub": pa.array([int(b) for _, b in found], pa.int64())})
+
+    keys = ["bucket", "i", "j"]
+    columns = "bucket bigint, i int, j int, node bigint, n bigint, comp bigint"
+    some = written(blocks(open_rows).join(sketches, "node").select(*keys, "node", "n", "comp", "sketch").groupBy(*keys).applyInArrow(promising, columns), "promising")
+    full = some.join(sketches, "node").join(sets, "node").select(*keys, "node", "n", "comp", "sketch", "items")
+    return full.groupBy(*keys).applyInArrow(links, "node bigint, hub bigint").distinct()
+
+
+def bucketed(rows: DataFrame, total: int) -> DataFrame:
+    """Rows (node, n, bucket) whose bucket has others, with the bucket's hub (its smallest node), the hub's n, and size."""
+    first = rows.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("c")).filter("c > 1")
+    buckets = written(first.select("bucket", F.col("first.node").alias("hub"), F.col("first.n").alias("hub_n"), F.col("c").alias("size"), "c"), "buckets")
+    # Rows without a partner keep null here, so the join's size doesn't depend on how many texts resemble each other.
+    return written(lookup(rows, buckets, "bucket", "c", total).filter("hub is not null"), "members")
+
+
+def refined(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, n, bucket) by finer bands of an independent signature, for the given nodes (node, n)."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                items = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("items")]
+                counts = np.array([len(x) for x in items])
+                of = np.repeat(np.arange(len(items)), counts)
+                signatures = bag_signatures(mix(np.concatenate(items) + _SEED), of, np.ones(len(of), np.int64), len(items), FINE_BANDS * FINE_ROWS)
+                found = band_hashes(signatures, FINE_BANDS, FINE_ROWS)
+                node = np.repeat(part.column("node").to_numpy(), FINE_BANDS)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.repeat(counts, FINE_BANDS)), pa.array(found.ravel())], names=["node", "n", "bucket"])
+
+    return map_arrow(sets.join(nodes.select("node"), "node", "left_semi").select("node", "items"), run, "node bigint, n bigint, bucket bigint")
+
+
+def relabelled(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (node, comp) after further links between nodes: only the labels that the links join are searched."""
+    side = lambda name: comp.select(F.col("node").alias(name), F.col("comp").alias(f"{name}_comp"))
+    between = links.join(side("node"), "node").join(side("hub"), "hub").select(F.col("node_comp").alias("node"), F.col("hub_comp").alias("hub")).filter("node <> hub")
+    joined = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("joined"))
+    return written(comp.join(joined, "comp", "left").select("node", F.coalesce("joined", "comp").alias("comp")), "components")
+
+
 def near(a: str, b: str, least: float):
     """Whether the sizes allow the similarity."""
     return F.least(a, b) >= F.greatest(a, b) * F.lit(least)
@@ -207,53 +348,57 @@ def classes_of(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows:
     signed = written(sign(docs, bands, rows), "signatures")
     total = signed.count()
     nodes = written(
-        signed.filter("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")),
+        signed.filter("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
         "nodes",
     )
-    exploded = nodes.filter("n > 0").select("node", "n", F.explode("bands").alias("bucket"))
-    buckets = written(exploded.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("c")).filter("c > 1").select("bucket", F.col("first.node").alias("hub"), F.col("first.n").alias("hub_n"), "c"), "buckets")
-    # Rows without a partner keep null here, so the join's size doesn't depend on how many texts resemble each other.
-    members = written(lookup(exploded, buckets.withColumn("size", F.col("c")), "bucket", "c", total * bands).filter("hub is not null"), "members")
+    members = bucketed(nodes.filter("n > 0").select("node", "n", F.explode("bands").alias("bucket")), total * bands)
     wanted = written(members.select("node").distinct(), "candidates")
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sets = written(multiset_table(plain.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")), "multisets")
 
+    sketches = written(nodes.select("node", "sketch").join(wanted, "node", "left_semi"), "sketches")
+
     tested = written(members.filter((F.col("node") != F.col("hub")) & near("n", "hub_n", least)).select("node", "hub").distinct(), "pairs")
-    links = written(verified(tested, sets, least), "links")
-    comp = components(links)
+    comp = relabelled(wanted.select("node", F.col("node").alias("comp")), written(verified(tested, sketches, sets, least), "links"))
     rest = members.filter("size > 2").select("bucket", "node", "n")
-    used = None
-    while True:
-        open_rows, hubs = next_hubs(rest, comp, used, total * bands)
-        if hubs.isEmpty():
-            break
-        paired = open_rows.join(hubs, "bucket").filter((F.col("comp") != F.col("hub_comp")) & near("n", "hub_n", least))
-        pairs = paired.select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub")).distinct().join(tested, ["node", "hub"], "left_anti")
-        pairs = written(pairs, "pairs")
-        found = written(verified(pairs, sets, least), "links")
-        tested = tested.unionByName(pairs)
-        now = hubs.select("bucket", "hub")
-        used = now if used is None else used.unionByName(now)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            comp = components(links)
-        rest = open_rows.select("bucket", "node", "n")
+    open_rows = still_open(rest, comp, total * bands)
+    large = written(open_rows.filter(F.col("rows") > LARGE).select("node", "n").distinct(), "large-bucket-nodes")
+    if not large.isEmpty():
+        fine = bucketed(written(refined(sets, large), "fine-bands"), large.count() * FINE_BANDS)
+        rest = open_rows.filter(F.col("rows") <= LARGE).select("bucket", "node", "n").unionByName(fine.select("bucket", "node", "n"))
+        open_rows = still_open(rest, comp, total * bands)
+    if not open_rows.isEmpty():
+        comp = relabelled(comp, written(within(open_rows, sketches, sets, least), "links"))
     final = nodes.join(comp, "node", "left").select("key", F.coalesce("comp", "node").alias("class_id"), "copies")
     out = lookup(signed.select("doc_id", "key"), written(final, "classes"), "key", "copies", total)
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
 
 
-def next_hubs(rest: DataFrame, comp: DataFrame, used: DataFrame | None, total: int) -> tuple[DataFrame, DataFrame]:
-    """(rows of buckets that hold several components, up to HUBS new hubs for each outside its largest component)."""
-    labelled = rest.join(comp, "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"))
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with one row of each class: the smallest doc_id's. Rows with a null doc_id stay.
+
+    Rows that repeat both doc_id and text count once.
+    """
+    classes = written(classes_of(docs), "document-classes")
+    kept = classes.filter("doc_id = class_id").groupBy("doc_id").count()
+    out = docs.join(kept.select(F.col("doc_id").alias("__kept")), F.col("doc_id").cast("bigint") == F.col("__kept"), "left_semi")
+    if not kept.filter("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "text"])
+    if not classes.filter("doc_id is null").isEmpty():
+        out = out.unionByName(docs.filter("doc_id is null"))
+    return out
+
+
+def still_open(rest: DataFrame, comp: DataFrame, total: int) -> DataFrame:
+    """Rows of buckets that hold several components: (bucket, node, n, comp, major, minor, rows).
+
+    ``major`` is the bucket's largest component, ``minor`` the number of its rows of other components.
+    """
+    labelled = rest.join(comp, "node").select("bucket", "node", "n", "comp")
     sizes = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
     top = sizes.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("most"), F.count("*").alias("k"), F.sum("c").alias("rows")).filter("k > 1")
-    open_rows = written(lookup(labelled, written(top.select("bucket", F.col("most.comp").alias("major"), "rows"), "open-buckets"), "bucket", "rows", total).filter("major is not null"), "open-rows")
-    minor = open_rows.filter("comp <> major")
-    if used is not None:
-        minor = minor.join(used.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
-    chosen = minor.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("slot")).agg(F.min(F.struct("node", "n", "comp")).alias("h"))
-    return open_rows, written(chosen.select("bucket", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.comp").alias("hub_comp")), "hubs")
+    top = written(top.select("bucket", F.col("most.comp").alias("major"), (F.col("rows") - F.col("most.c")).alias("minor"), "rows", F.col("rows").alias("c")), "open-buckets")
+    return written(lookup(labelled, top, "bucket", "c", total).filter("major is not null"), "open-rows")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

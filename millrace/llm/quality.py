@@ -15,15 +15,13 @@ an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
-from .textcore import Packed, SpanCache, packed, sums_by_text, texts_of
+from .common import map_arrow, read_table, worker_resource
+from .textcore import Packed, SpanCache, packed, sums_by_text, text_slices
 from .training import calibrated, labelled_sample, remainder, sigmoid
 
 BUCKETS, DIM, GRAMS = 1 << 17, 12, (3, 4, 5)
@@ -133,12 +131,14 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: floa
     return Model(weight, *calibrated(margin, labels))
 
 
-@lru_cache(maxsize=2)
-def _opened(packed_model: bytes) -> tuple[Model, SpanCache]:
+def opened(packed_model: bytes) -> tuple[Model, SpanCache]:
     import pickle
 
-    model = pickle.loads(packed_model)
-    return model, model.cache()
+    def make():
+        model = pickle.loads(packed_model)
+        return model, model.cache()
+
+    return worker_resource(packed_model, make)
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
@@ -148,11 +148,12 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def run(batches):
-        found, cache = _opened(shared.value)
+        found, cache = opened(shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.scores(texts_of(batch.column("text")), cache))], names=["doc_id", column])
+            for at, texts in text_slices(batch):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), pa.array(found.scores(texts, cache))], names=["doc_id", column])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, f"doc_id bigint, {column} double")
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, f"doc_id bigint, {column} double")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 20
+SLICE_TEXTS = 400
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
@@ -21,7 +23,7 @@ def _power(kind: str, n: int) -> np.ndarray:
     """The first n powers modulo 2**64 of the multiplier ("up") or of its inverse ("down")."""
     if len(_powers[kind]) < n:
         base = _MULTIPLIER if kind == "up" else np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
-        grown = np.full(max(n, SLICE_CHARS + (1 << 18)), base, np.uint64)
+        grown = np.full(max(n, SLICE_CHARS + (1 << 14)), base, np.uint64)
         grown[0] = 1
         _powers[kind] = np.multiply.accumulate(grown)
     return _powers[kind][:n]
@@ -96,6 +98,21 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def text_slices(batch: pa.RecordBatch, name: str = "text") -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of a batch in slices of at most SLICE_TEXTS rows and about SLICE_CHARS bytes, or one row.
+
+    A batch can hold tens of megabytes; only a slice of it is ever made into Python strings.
+    """
+    column = batch.column(name)
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    total, at = np.cumsum(size, dtype=np.int64), 0
+    while at < len(size):
+        before = total[at - 1] if at else 0
+        stop = min(max(at + 1, int(np.searchsorted(total, before + SLICE_CHARS, "right"))), at + SLICE_TEXTS)
+        yield at, texts_of(column.slice(at, stop - at))
+        at = stop
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The positions start, start + 1, ... of all spans, one span after the other."""
     total = int(lengths.sum())

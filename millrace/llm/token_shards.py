@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import AtomicFile, file_system, new_dir, read_table, text_or_empty, wide_enough
-from .textcore import Packed, SpanCache, packed, sums_by_text, texts_of
+from .common import AtomicFile, file_system, map_arrow, new_dir, read_table, text_or_empty, wide_enough, worker_resource
+from .textcore import Packed, SpanCache, packed, sums_by_text, text_slices
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 FRAME_TOKENS = 1 << 16
@@ -69,7 +69,6 @@ def words(pack: Packed) -> tuple[np.ndarray, np.ndarray]:
     return pack.runs(kind != GAP, cut)
 
 
-@lru_cache(maxsize=1)
 def worker_cache(name: str) -> SpanCache:
     def encode(found: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         groups = [found[i : i + WORDS_AT_ONCE] for i in range(0, len(found), WORDS_AT_ONCE)]
@@ -77,7 +76,7 @@ def worker_cache(name: str) -> SpanCache:
         counts = [np.bincount(np.array(x.word_ids, np.int64), minlength=len(g)) for x, g in zip(got, groups)]
         return [(np.concatenate(counts), np.concatenate([np.array(x.ids, np.uint32) for x in got]))]
 
-    return SpanCache(encode)
+    return worker_resource(("token-shards", name), lambda: SpanCache(encode))
 
 
 def encode_texts(texts: list[str], name: str = TOKENIZER, end_id: int | None = END_ID) -> Iterator[np.ndarray]:
@@ -223,12 +222,14 @@ def write_shards(docs: DataFrame, folder: str, shards: int, name: str = TOKENIZE
         shard = TaskContext.get().partitionId()
         with ShardWriter(f"{folder}/shard-{shard:06d}.zst") as out:
             for batch in batches:
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode_texts(texts_of(batch.column("text")), name, end_id)):
-                    out.add(doc_id, ids)
+                doc_ids = batch.column("doc_id").to_pylist()
+                for at, texts in text_slices(batch):
+                    for doc_id, ids in zip(doc_ids[at:], encode_texts(texts, name, end_id)):
+                        out.add(doc_id, ids)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_tokens": pa.array([out.n_tokens], pa.int64())})
 
     ranged = docs.select("doc_id", text_or_empty("text").alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    return sorted(map(tuple, ranged.mapInArrow(run, "shard int, n_tokens bigint").collect()))
+    return sorted(map(tuple, map_arrow(ranged, run, "shard int, n_tokens bigint").collect()))
 
 
 def read_shards(spark: SparkSession, folder: str, manifest: list[tuple[int, int]], wanted: list[int] | None = None) -> DataFrame:
@@ -254,7 +255,7 @@ def read_shards(spark: SparkSession, folder: str, manifest: list[tuple[int, int]
         flat = np.concatenate([x for _, _, x in rows]).astype(np.int32) if rows else np.zeros(0, np.int32)
         return pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in rows], pa.int64()), pa.array([x for _, x, _ in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "start", "ids"])
 
-    return spark.range(0, len(manifest), 1, max(1, len(manifest))).mapInArrow(run, "doc_id bigint, start bigint, ids array<int>")
+    return map_arrow(spark.range(0, len(manifest), 1, max(1, len(manifest))), run, "doc_id bigint, start bigint, ids array<int>")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,4 +271,4 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
                 columns = list(zip(*got)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.range(0, len(manifest), 1, max(1, len(manifest))).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return map_arrow(spark.range(0, len(manifest), 1, max(1, len(manifest))), run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import AtomicFile, file_system, new_dir, read_table, wide_enough, written
+from .common import AtomicFile, file_system, lookup, map_arrow, new_dir, read_table, wide_enough, written
 
 #: Payloads of fewer bytes are always responses.
 LEAST_BYTES = 0
@@ -85,16 +85,9 @@ def with_first(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
         rows.filter(F.length("payload") >= least_bytes).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1"),
         "warc-shared",
     )
-    total = pages.count()
-    hot = shared.filter(F.col("n") > F.lit(total * HOT_SHARE)).select("key", F.col("first").alias("hot_first"), F.lit(True).alias("hot"))
-    cold = shared.filter(F.col("n") <= F.lit(total * HOT_SHARE)).select(F.col("key").alias("join_key"), F.col("first").alias("cold_first"), F.lit(True).alias("cold"))
-    marked = rows.join(F.broadcast(hot), "key", "left")
-    # A hot page needs no partner: its join key is its own, so such pages spread over all tasks.
-    marked = marked.withColumn("join_key", F.when(F.col("hot"), F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))).otherwise(F.col("key")))
-    joined = marked.join(cold.hint("merge"), "join_key", "left")
-    first = F.when(F.col("hot"), F.col("hot_first")).otherwise(F.col("cold_first"))
-    known = F.coalesce(F.col("hot"), F.lit(False)) | F.coalesce(F.col("cold"), F.lit(False))
-    return joined.select("page_id", "url", "payload", "key", first.alias("first"), (known & ~F.col("page_id").eqNullSafe(first)).alias("is_revisit"))
+    found = lookup(rows, shared.select("key", "first", F.lit(True).alias("shared"), "n"), "key", "n", pages.count(), HOT_SHARE)
+    is_revisit = F.coalesce("shared", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first"))
+    return found.select("page_id", "url", "payload", "key", "first", is_revisit.alias("is_revisit"))
 
 
 def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", level: int = 1, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -130,7 +123,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
             out.__exit__(None, None, None)
 
     ready = with_first(pages, least_bytes).sortWithinPartitions("page_id", "url", "key").drop("key")
-    return written(ready.mapInArrow(run, INDEX), "warc-index")
+    return written(map_arrow(ready, run, INDEX), "warc-index")
 
 
 def coalesced(places: list[tuple[int, int]], gap: int = GAP, most: int = READ) -> list[tuple[int, int, list[tuple[int, int]]]]:
@@ -183,7 +176,7 @@ def read_archives(index: DataFrame, payloads: bool = True) -> DataFrame:
 
     places = index.select("file", "offset", "length", F.floor(F.col("offset") / F.lit(64 << 20)).alias("part"))
     dealt = places.repartition(wide_enough(index.sparkSession), "file", "part").sortWithinPartitions("file", "offset")
-    return dealt.select("file", "offset", "length").mapInArrow(run, RECORD)
+    return map_arrow(dealt.select("file", "offset", "length"), run, RECORD)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
