@@ -20,7 +20,6 @@ every score is 0; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import pickle
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import LETTER, NUMBER, classes
-from .common import read_table
-from .textcore import Packed, SpanCache, packed, texts_of
+from .common import map_arrow, read_table, worker_resource
+from .textcore import Packed, SpanCache, distinct, packed, ragged, text_slices
 from .training import calibrated, labelled_sample, remainder, sigmoid
 
 WINDOW, STRIDE, PIECE = 32, 16, 24
@@ -219,31 +218,25 @@ class Model:
         n = STATE
         half = np.ones(3 * n, np.float32)
         half[: 2 * n] = 0.5  # a sigmoid is a tanh of half the argument
-        U = {k: p[f"{k}.U"] * half for k in ("wf", "wb")}
-        scale = np.concatenate([half, half])
+        sides = [(back, np.ascontiguousarray(table[:, lo : lo + 3 * n]) * half, p[f"{name}.U"] * half, lo // 3) for name, back, lo in (("wf", False, 0), ("wb", True, 3 * n))]
         for i in range(0, len(windows), CHUNK):
             idx = np.ascontiguousarray(windows[i : i + CHUNK].T)
             T, N = idx.shape
             mask = (idx >= 0).astype(np.float32)
             full = bool(mask.all())
             states = np.empty((T, N, 2 * n), np.float32)
-            for name, back, lo in (("wf", False, 0), ("wb", True, 3 * n)):
-                gates_in = np.ascontiguousarray(table[:, lo : lo + 3 * n]) if i == 0 else self._part[name]
-                if i == 0:
-                    gates_in = gates_in * scale[lo : lo + 3 * n]
-                    self._part = getattr(self, "_part", {}) | {name: gates_in}
+            for back, gates_in, U, at in sides:
                 h = np.zeros((N, n), np.float32)
                 for t in range(T - 1, -1, -1) if back else range(T):
                     a = gates_in[idx[t]]
-                    g = h @ U[name]
+                    g = h @ U
                     s = np.tanh(a[:, : 2 * n] + g[:, : 2 * n])
                     new = np.tanh(a[:, 2 * n :] + (0.5 * s[:, n:] + 0.5) * g[:, 2 * n :])
                     step = (0.5 - 0.5 * s[:, :n]) * (new - h)
                     h = h + (step if full else step * mask[t][:, None])
-                    states[t, :, lo // 3 : lo // 3 + n] = h
+                    states[t, :, at : at + n] = h
             _, _, pool = pooled(p, states, mask)
             out[i : i + CHUNK] = pool @ p["out.w"] + p["out.b"]
-        self._part = {}
         return out
 
     def margins(self, texts: list[str], cache: SpanCache) -> np.ndarray:
@@ -275,25 +268,36 @@ def windows_of(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     text = np.repeat(np.arange(len(counts)), n)
     begin = np.cumsum(counts) - counts
     start = begin[text] + (np.arange(int(n.sum())) - first[text]) * STRIDE
-    at = start[:, None] + np.arange(WINDOW)
-    inside = at < (begin + counts)[text][:, None]
-    if not len(rows):
-        return np.full(at.shape, -1), first
-    return np.where(inside, rows[np.minimum(at, len(rows) - 1)], -1), first
+    out = np.full((len(start), WINDOW), -1, np.int32)
+    stop = (begin + counts)[text]
+    for k in range(WINDOW if len(rows) else 0):
+        inside = start + k < stop
+        out[inside, k] = rows[start[inside] + k]
+    return out, first
 
 
 def suspicion(words: list[str], text_words: list[np.ndarray], labels: np.ndarray, least: int = 4) -> np.ndarray:
-    """For each word, the largest log-odds of positive texts among the word and its beginnings."""
-    known: dict[str, int] = {}
-    lists = [[known.setdefault(k, len(known)) for k in {w, *(w[:n] + "*" for n in range(3, min(9, len(w) + 1)))}] for w in words]
-    have = np.zeros((2, len(known)))
+    """For each word, the largest log-odds of positive texts among the word and its beginnings of 3 to 8 characters."""
+    pack = Packed(words)
+    starts, lengths = pack.bounds[:-1], np.diff(pack.bounds)
+    numbers, hashes = [np.arange(len(words))], [~pack.span_hash(starts, pack.bounds[1:])]
+    for n in range(3, 9):
+        long = np.flatnonzero(lengths >= n)
+        numbers.append(long)
+        hashes.append(pack.span_hash(starts[long], starts[long] + n))
+    number = np.concatenate(numbers)
+    _, _, key = distinct(np.concatenate(hashes))
+    order = np.argsort(number, kind="stable")
+    key, n_keys = key[order], np.bincount(number, minlength=len(words))
+    first = np.cumsum(n_keys) - n_keys
+    have = np.zeros((2, int(key.max(initial=-1)) + 1))
     for found, y in zip(text_words, labels):
-        keys = np.fromiter({k for w in np.unique(found).tolist() for k in lists[w]}, np.int64)
-        have[int(y), keys] += 1
+        mine = np.unique(found)
+        have[int(y), np.unique(key[ragged(first[mine], n_keys[mine])])] += 1
     total = np.maximum(1, np.bincount(labels, minlength=2))
     odds = np.log((have[1] + 0.5) / total[1]) - np.log((have[0] + 0.5) / total[0])
     odds[have[1] < least] = -9
-    return np.array([max(odds[k] for k in keys) for keys in lists])
+    return np.maximum.reduceat(odds[key], first) if len(words) else np.zeros(0)
 
 
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
@@ -305,8 +309,9 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     text_words = []
     for _, _, pack in packed([t.lower() for t in texts]):
         starts, ends = word_spans(pack)
-        found = np.array([seen.setdefault(pack.joined[s:e], len(seen)) for s, e in zip(starts.tolist(), ends.tolist())], np.int64)
+        found = np.array([seen.setdefault(pack.joined[s:e], len(seen)) for s, e in zip(starts.tolist(), ends.tolist())], np.int32)
         text_words += np.split(found, np.cumsum(pack.counts(starts))[:-1])
+    del texts
     words = list(seen)
     bucket, chars, lengths = word_inputs(words)
     spread = np.bincount(np.concatenate([np.unique(x) for x in text_words]), minlength=len(words))
@@ -315,7 +320,9 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     windows, first = windows_of(np.concatenate(text_words), counts)
     n = np.diff(np.append(first, len(windows)))
     odds = np.append(suspicion(words, text_words, labels), -9.0)
-    highest = odds[windows].max(1)
+    highest = np.full(len(windows), -9.0)
+    for k in range(WINDOW):
+        np.maximum(highest, odds[windows[:, k]], out=highest)
 
     p = new_parameters(rng)
     p["word"][np.setdiff1d(np.arange(WORD_BUCKETS), bucket[own > 0])] = 0
@@ -352,15 +359,24 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     return model
 
 
-def all_margins(model: Model, words: list[str], windows: np.ndarray) -> np.ndarray:
-    table = model.compute(words)[0][1].reshape(-1, 6 * STATE) if words else np.zeros((1, 6 * STATE), np.float32)
-    return model.window_margins(table, windows)
+def all_margins(model: Model, words: list[str], windows: np.ndarray, group: int = 1 << 14) -> np.ndarray:
+    """The margins of all windows of the sample, in groups, so that only a group's words are held at a time."""
+    out = []
+    for i in range(0, len(windows), group):
+        used, local = np.unique(windows[i : i + group], return_inverse=True)
+        none = int(used[0] < 0)
+        some = [words[w] for w in used[none:].tolist()]
+        table = model.compute(some)[0][1].reshape(-1, 6 * STATE) if some else np.zeros((1, 6 * STATE), np.float32)
+        out.append(model.window_margins(table, local.reshape(-1, WINDOW) - none))
+    return np.concatenate(out)
+
 
+def opened(packed_model: bytes) -> tuple[Model, SpanCache]:
+    def make():
+        model = pickle.loads(packed_model)
+        return model, model.cache()
 
-@lru_cache(maxsize=2)
-def _opened(packed_model: bytes) -> tuple[Model, SpanCache]:
-    model = pickle.loads(packed_model)
-    return model, model.cache()
+    return worker_resource(packed_model, make)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",), column: str = "toxicity") -> DataFrame:
@@ -371,14 +387,27 @@ def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",), column:
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(column, T.DoubleType())])
 
     def run(batches):
-        found, cache = _opened(shared.value)
+        found, cache = opened(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                rows = batch.slice(at, 2000)
-                scores = pa.array(found.scores(texts_of(rows.column("text")), cache))
+            for at, texts in text_slices(batch):
+                rows = batch.slice(at, len(texts))
+                scores = pa.array(found.scores(texts, cache))
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), scores], names=[*keep, column])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return map_arrow(docs.select(*dict.fromkeys([*keep, "text"])), run, schema)
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """docs, all columns, without the rows that score at least ``threshold``."""
+    packed_model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+
+    def run(batches):
+        found, cache = opened(packed_model.value)
+        for batch in batches:
+            for at, texts in text_slices(batch):
+                yield batch.slice(at, len(texts)).filter(pa.array(found.scores(texts, cache) < threshold))
+
+    return map_arrow(docs, run, docs.schema)
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
