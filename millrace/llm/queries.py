@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, decontam, hamming, neardup, quality, token_shards, toxicity, warc
+from . import byte_bpe, chat_format, decontam, hamming, neardup, pii, quality, token_shards, toxicity, warc
 
 QUERIES = {
+    "op1_pii": pii.op1,
     "op2_toxicity": toxicity.op2,
     "op3_hamming_topk": hamming.op3,
     "op4_chat_format": chat_format.op4,
