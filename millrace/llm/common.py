@@ -37,13 +37,18 @@ def new_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, rows: int | None = None, per_file: int = 50_000) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: its lineage ends there.
 
+    ``rows``, an upper estimate of the rows, keeps small tables from many tiny files: there are at most as many files
+    as ``per_file`` rows each need, and at most as many as ``df`` has partitions.
+
     While it is written, Python tasks get their rows in small batches, as a batch stands in memory on both sides.
     """
     spark = df.sparkSession
     path = new_dir(spark, what)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // per_file)))
     before = spark.conf.get(BATCH_ROWS, "10000")
     spark.conf.set(BATCH_ROWS, str(min(int(before), 1000) if int(before) > 0 else 1000))
     try:

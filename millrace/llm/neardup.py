@@ -171,7 +171,7 @@ def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, least: floa
     500 partners.
     """
     degree = pairs.groupBy("hub").count().withColumn("salts", (F.col("count") / 500).cast("int") + 1)
-    degree = written(degree.join(sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub"), "pair-degree")
+    degree = written(degree.join(sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub"), "pair-degree", pairs.count())
     left = lookup(pairs, degree, "hub", "count", pairs.count()).join(sketches, "node")
 
     def sieve(batches):
@@ -226,23 +226,23 @@ def components(links: DataFrame) -> DataFrame:
     go. Nothing is collected.
     """
     parts = max(1, -(-links.count() // LINKS))
-    edges = written(contracted(links.select(F.col("node").alias("a"), F.col("hub").alias("b")), parts), "cc-edges")
+    edges = written(contracted(links.select(F.col("node").alias("a"), F.col("hub").alias("b")), parts), "cc-edges", parts, 1)
     if parts == 1:
         whole = edges.unionByName(edges.select(F.col("b").alias("a"), "b"))
         return whole.select(F.col("a").alias("node"), F.col("b").alias("comp")).distinct()
     labels = None
     while labels is None or not edges.isEmpty():
         sides = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        best = written(sides.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"), F.count("*").alias("deg")), "cc-best")
+        best = written(sides.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"), F.count("*").alias("deg")), "cc-best", parts * LINKS)
         if labels is None:
             labels = best.select(F.col("a").alias("node"), F.col("label").alias("comp"))
         else:
             labels = labels.join(best.select(F.col("a").alias("comp"), "label"), "comp", "left").select("node", F.coalesce("label", "comp").alias("comp"))
-        labels = written(labels, "cc-labels")
+        labels = written(labels, "cc-labels", parts * LINKS)
         n = edges.count()
         for side in ("a", "b"):
             edges = lookup(edges, best.select(F.col("a").alias(side), F.col("label").alias(f"l{side}"), "deg"), side, "deg", n)
-        edges = written(edges.filter("la <> lb").select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")).distinct(), "cc-edges")
+        edges = written(edges.filter("la <> lb").select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")).distinct(), "cc-edges", n)
     return labels
 
 
@@ -299,7 +299,7 @@ def within(open_rows: DataFrame, sketches: DataFrame, sets: DataFrame, least: fl
 
     keys = ["bucket", "i", "j"]
     columns = "bucket bigint, i int, j int, node bigint, n bigint, comp bigint"
-    some = written(blocks(open_rows).join(sketches, "node").select(*keys, "node", "n", "comp", "sketch").groupBy(*keys).applyInArrow(promising, columns), "promising")
+    some = written(blocks(open_rows).join(sketches, "node").select(*keys, "node", "n", "comp", "sketch").groupBy(*keys).applyInArrow(promising, columns), "promising", open_rows.count(), 2_000)
     full = some.join(sketches, "node").join(sets, "node").select(*keys, "node", "n", "comp", "sketch", "items")
     return full.groupBy(*keys).applyInArrow(links, "node bigint, hub bigint").distinct()
 
@@ -307,9 +307,9 @@ def within(open_rows: DataFrame, sketches: DataFrame, sets: DataFrame, least: fl
 def bucketed(rows: DataFrame, total: int) -> DataFrame:
     """Rows (node, n, bucket) whose bucket has others, with the bucket's hub (its smallest node), the hub's n, and size."""
     first = rows.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("c")).filter("c > 1")
-    buckets = written(first.select("bucket", F.col("first.node").alias("hub"), F.col("first.n").alias("hub_n"), F.col("c").alias("size"), "c"), "buckets")
+    buckets = written(first.select("bucket", F.col("first.node").alias("hub"), F.col("first.n").alias("hub_n"), F.col("c").alias("size"), "c"), "buckets", total, 200_000)
     # Rows without a partner keep null here, so the join's size doesn't depend on how many texts resemble each other.
-    return written(lookup(rows, buckets, "bucket", "c", total).filter("hub is not null"), "members")
+    return written(lookup(rows, buckets, "bucket", "c", total).filter("hub is not null"), "members", total, 200_000)
 
 
 def refined(sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -330,12 +330,12 @@ def refined(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_arrow(sets.join(nodes.select("node"), "node", "left_semi").select("node", "items"), run, "node bigint, n bigint, bucket bigint")
 
 
-def relabelled(comp: DataFrame, links: DataFrame) -> DataFrame:
+def relabelled(comp: DataFrame, links: DataFrame, rows: int) -> DataFrame:
     """The labels (node, comp) after further links between nodes: only the labels that the links join are searched."""
     side = lambda name: comp.select(F.col("node").alias(name), F.col("comp").alias(f"{name}_comp"))
     between = links.join(side("node"), "node").join(side("hub"), "hub").select(F.col("node_comp").alias("node"), F.col("hub_comp").alias("hub")).filter("node <> hub")
     joined = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("joined"))
-    return written(comp.join(joined, "comp", "left").select("node", F.coalesce("joined", "comp").alias("comp")), "components")
+    return written(comp.join(joined, "comp", "left").select("node", F.coalesce("joined", "comp").alias("comp")), "components", rows)
 
 
 def near(a: str, b: str, least: float):
@@ -350,27 +350,31 @@ def classes_of(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows:
     nodes = written(
         signed.filter("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
         "nodes",
+        total,
+        20_000,
     )
     members = bucketed(nodes.filter("n > 0").select("node", "n", F.explode("bands").alias("bucket")), total * bands)
-    wanted = written(members.select("node").distinct(), "candidates")
+    near_rows = members.count()
+    wanted = written(members.select("node").distinct(), "candidates", near_rows)
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sets = written(multiset_table(plain.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")), "multisets")
+    sets = written(multiset_table(plain.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")), "multisets", near_rows, 5_000)
 
-    sketches = written(nodes.select("node", "sketch").join(wanted, "node", "left_semi"), "sketches")
+    sketches = written(nodes.select("node", "sketch").join(wanted, "node", "left_semi"), "sketches", near_rows)
 
-    tested = written(members.filter((F.col("node") != F.col("hub")) & near("n", "hub_n", least)).select("node", "hub").distinct(), "pairs")
-    comp = relabelled(wanted.select("node", F.col("node").alias("comp")), written(verified(tested, sketches, sets, least), "links"))
+    tested = written(members.filter((F.col("node") != F.col("hub")) & near("n", "hub_n", least)).select("node", "hub").distinct(), "pairs", near_rows)
+    comp = relabelled(wanted.select("node", F.col("node").alias("comp")), written(verified(tested, sketches, sets, least), "links", tested.count(), 2_000), near_rows)
     rest = members.filter("size > 2").select("bucket", "node", "n")
     open_rows = still_open(rest, comp, total * bands)
-    large = written(open_rows.filter(F.col("rows") > LARGE).select("node", "n").distinct(), "large-bucket-nodes")
+    large = written(open_rows.filter(F.col("rows") > LARGE).select("node", "n").distinct(), "large-bucket-nodes", near_rows)
     if not large.isEmpty():
-        fine = bucketed(written(refined(sets, large), "fine-bands"), large.count() * FINE_BANDS)
+        some = large.count()
+        fine = bucketed(written(refined(sets, large), "fine-bands", some, 500), some * FINE_BANDS)
         rest = open_rows.filter(F.col("rows") <= LARGE).select("bucket", "node", "n").unionByName(fine.select("bucket", "node", "n"))
         open_rows = still_open(rest, comp, total * bands)
     if not open_rows.isEmpty():
-        comp = relabelled(comp, written(within(open_rows, sketches, sets, least), "links"))
+        comp = relabelled(comp, written(within(open_rows, sketches, sets, least), "links", open_rows.count(), 2_000), near_rows)
     final = nodes.join(comp, "node", "left").select("key", F.coalesce("comp", "node").alias("class_id"), "copies")
-    out = lookup(signed.select("doc_id", "key"), written(final, "classes"), "key", "copies", total)
+    out = lookup(signed.select("doc_id", "key"), written(final, "classes", total), "key", "copies", total)
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
 
 
@@ -397,8 +401,8 @@ def still_open(rest: DataFrame, comp: DataFrame, total: int) -> DataFrame:
     labelled = rest.join(comp, "node").select("bucket", "node", "n", "comp")
     sizes = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
     top = sizes.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("most"), F.count("*").alias("k"), F.sum("c").alias("rows")).filter("k > 1")
-    top = written(top.select("bucket", F.col("most.comp").alias("major"), (F.col("rows") - F.col("most.c")).alias("minor"), "rows", F.col("rows").alias("c")), "open-buckets")
-    return written(lookup(labelled, top, "bucket", "c", total).filter("major is not null"), "open-rows")
+    top = written(top.select("bucket", F.col("most.comp").alias("major"), (F.col("rows") - F.col("most.c")).alias("minor"), "rows", F.col("rows").alias("c")), "open-buckets", total, 200_000)
+    return written(lookup(labelled, top, "bucket", "c", total).filter("major is not null"), "open-rows", total, 200_000)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
