@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import LETTER, NUMBER, classes
 from .common import map_arrow, read_table, worker_resource
-from .textcore import Packed, SpanCache, distinct, packed, ragged, text_slices
+from .textcore import Packed, SpanCache, distinct, packed, text_slices
 from .training import calibrated, labelled_sample, remainder, sigmoid
 
 WINDOW, STRIDE, PIECE = 32, 16, 24
@@ -280,24 +280,21 @@ def suspicion(words: list[str], text_words: list[np.ndarray], labels: np.ndarray
     """For each word, the largest log-odds of positive texts among the word and its beginnings of 3 to 8 characters."""
     pack = Packed(words)
     starts, lengths = pack.bounds[:-1], np.diff(pack.bounds)
-    numbers, hashes = [np.arange(len(words))], [~pack.span_hash(starts, pack.bounds[1:])]
-    for n in range(3, 9):
-        long = np.flatnonzero(lengths >= n)
-        numbers.append(long)
-        hashes.append(pack.span_hash(starts[long], starts[long] + n))
-    number = np.concatenate(numbers)
-    _, _, key = distinct(np.concatenate(hashes))
-    order = np.argsort(number, kind="stable")
-    key, n_keys = key[order], np.bincount(number, minlength=len(words))
-    first = np.cumsum(n_keys) - n_keys
-    have = np.zeros((2, int(key.max(initial=-1)) + 1))
-    for found, y in zip(text_words, labels):
-        mine = np.unique(found)
-        have[int(y), np.unique(key[ragged(first[mine], n_keys[mine])])] += 1
     total = np.maximum(1, np.bincount(labels, minlength=2))
-    odds = np.log((have[1] + 0.5) / total[1]) - np.log((have[0] + 0.5) / total[0])
-    odds[have[1] < least] = -9
-    return np.maximum.reduceat(odds[key], first) if len(words) else np.zeros(0)
+    out = np.full(len(words), -9.0)
+    for n in (0, *range(3, 9)):  # 0: the whole word; one length at a time keeps the arrays short
+        long = np.flatnonzero(lengths >= n)
+        _, _, key = distinct(pack.span_hash(starts[long], starts[long] + n if n else pack.bounds[1:]))
+        key_of = np.full(len(words), -1, np.int32)
+        key_of[long] = key
+        have = np.zeros((2, int(key.max(initial=-1)) + 1))
+        for found, y in zip(text_words, labels):
+            mine = np.unique(key_of[found])
+            have[int(y), mine[mine >= 0]] += 1
+        odds = np.log((have[1] + 0.5) / total[1]) - np.log((have[0] + 0.5) / total[0])
+        odds[have[1] < least] = -9
+        out[long] = np.maximum(out[long], odds[key])
+    return out
 
 
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:

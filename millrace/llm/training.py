@@ -24,7 +24,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return [r["text"] for r in rows], np.array([r["label"] for r in rows], np.int64)
+    found = np.array([r["label"] for r in rows], np.int64)
+    return [r["text"] for r in rows], found
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
