@@ -157,11 +157,9 @@ def lookup(left: DataFrame, right: DataFrame, key: str, count: str, total: int,
     ``count`` is right's column with the number of left rows of its key. Keys that have more than ``share`` of
     ``total`` are at most 1 / share, so they are broadcast, and their left rows, which need no other partner, are
     dealt out by a hash of the whole row; all other keys are joined by a shuffle in which none stands out. ``right``
-    is looked at first, so it should be a written table.
+    is read twice, so it should be a written table.
     """
     names = [c for c in right.columns if c not in (key, count)]
-    if right.filter(F.col(count) > F.lit(total * share)).isEmpty():
-        return left.join(right.drop(count), key, "left").select(*left.columns, *names)
     hot_side = right.filter(F.col(count) > F.lit(total * share)).select(F.col(key), F.struct(*names, F.lit(True).alias("__known")).alias("__hot"))
     cold_side = right.filter(F.col(count) <= F.lit(total * share)).select(F.col(key).alias("__cold_key"), F.struct(*names, F.lit(True).alias("__known")).alias("__cold"))
     marked = left.join(F.broadcast(hot_side), key, "left")

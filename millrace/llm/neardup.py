@@ -357,7 +357,7 @@ def classes_of(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows:
     near_rows = members.count()
     wanted = written(members.select("node").distinct(), "candidates", near_rows)
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sets = written(multiset_table(plain.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")), "multisets", near_rows, 5_000)
+    sets = written(multiset_table(plain.join(wanted.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")), "multisets", near_rows, 5_000)
 
     sketches = written(nodes.select("node", "sketch").join(wanted, "node", "left_semi"), "sketches", near_rows)
 
@@ -385,7 +385,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     classes = written(classes_of(docs), "document-classes")
     kept = classes.filter("doc_id = class_id").groupBy("doc_id").count()
-    out = docs.join(kept.select(F.col("doc_id").alias("__kept")), F.col("doc_id").cast("bigint") == F.col("__kept"), "left_semi")
+    # Ids grow with the corpus, so they aren't broadcast, however few they are in a small one.
+    out = docs.join(kept.select(F.col("doc_id").alias("__kept")).hint("merge"), F.col("doc_id").cast("bigint") == F.col("__kept"), "left_semi")
     if not kept.filter("count > 1").isEmpty():
         out = out.dropDuplicates(["doc_id", "text"])
     if not classes.filter("doc_id is null").isEmpty():
