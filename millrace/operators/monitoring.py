@@ -73,7 +73,8 @@ def next_run(schedule: Column, start: Column, errors: Column, paused_until: Colu
     are errors; not before ``paused_until``; other schedules never run by themselves.
     """
     days = F.when(schedule == "daily", 1).when(schedule == "weekly", 7).when(schedule == "monthly", 30)
-    wait = F.when(errors > 0, F.least(days * F.pow(F.lit(2), errors), F.lit(7))).otherwise(days)
+    # least() passes over nulls, so what never runs is kept apart.
+    wait = F.when(days.isNotNull() & (errors > 0), F.least(days * F.pow(F.lit(2), errors), F.lit(7))).otherwise(days)
     due = start + F.make_dt_interval(wait.cast("int"))
     return F.when(paused_until > due, paused_until).otherwise(due)
 

@@ -116,7 +116,7 @@ def quota_stats(spark, folder):
 with o as (select o_orderkey, o_orderdate, case o_orderkey % 4 when 0 then 'daily' when 1 then 'weekly' when 2 then 'monthly' else 'on_demand' end as schedule, o_custkey % 5 as errors,
   case when o_orderkey % 11 = 0 then o_orderdate + interval 20 days end as paused from orders),
 d as (select *, case schedule when 'daily' then 1 when 'weekly' then 7 when 'monthly' then 30 end as days from o),
-w as (select *, case when errors > 0 then least(days * pow(2, errors), 7) else days end as wait from d),
+w as (select *, case when days is not null and errors > 0 then least(days * pow(2, errors), 7) else days end as wait from d),
 n as (select *, o_orderdate + to_days(wait::int) as due from w)
 select o_orderkey, case when paused > due then paused else due end as next_run from n""")
 def backoff(spark, folder):
