@@ -98,7 +98,7 @@ def error_class(spark, folder):
 
 
 LINK = r"""(?is)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>"""
-PRODUCT = r"(?i)/en/\d+|/product"
+PRODUCT = r"(?i)/en/\d+|/product|/th"
 PARTS_OF = r"'^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$'"
 
 
