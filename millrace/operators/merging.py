@@ -109,15 +109,17 @@ def merged_list(values: Column) -> Column:
     return F.filter(values, lambda v, i: F.array_position(folded, F.lower(F.trim(v))) == i + 1)
 
 
-def coverage(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def coverage(rows: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     """Per product and field group, filled and all fields and the percentage, with the total as group ``total``.
 
-    ``groups`` has (group_key, field_name) and is a configuration of a few dozen rows.
+    One aggregation by product: the set of its filled fields is no larger than the configured ones.
     """
-    said = rows.filter(filled(F.col("extracted_value"))).select("product_id", "field_name").distinct()
-    sizes = groups.groupBy("group_key").agg(F.count("*").alias("total"))
-    per = rows.select("product_id").distinct().join(F.broadcast(sizes))
-    have = said.join(F.broadcast(groups), "field_name").groupBy("product_id", "group_key").agg(F.count("*").alias("populated"))
-    by_group = per.join(have, ["product_id", "group_key"], "left").withColumn("populated", F.coalesce("populated", F.lit(0)))
-    whole = by_group.groupBy("product_id").agg(F.lit("total").alias("group_key"), F.sum("total").alias("total"), F.sum("populated").alias("populated"))
-    return by_group.unionByName(whole).withColumn("percentage", F.round(F.col("populated") / F.col("total") * 100, 2))
+    known = sorted({f for fields in groups.values() for f in fields})
+    counts = filled(F.col("extracted_value")) & F.col("field_name").isin(*known)
+    have = rows.groupBy("product_id").agg(F.collect_set(F.when(counts, F.col("field_name"))).alias("have"))
+    found = {g: F.size(F.array_intersect("have", F.array(*map(F.lit, fields)))) for g, fields in groups.items()}
+    entry = lambda key, total, populated: F.struct(F.lit(key).alias("group_key"), F.lit(total).cast("bigint").alias("total"), populated.cast("bigint").alias("populated"))
+    entries = [entry(g, len(fields), found[g]) for g, fields in groups.items()]
+    entries.append(entry("total", sum(map(len, groups.values())), sum(found.values(), F.lit(0))))
+    each = have.select("product_id", F.explode(F.array(*entries)).alias("e")).select("product_id", "e.*")
+    return each.withColumn("percentage", F.round(F.col("populated") / F.col("total") * 100, 2))

@@ -101,5 +101,4 @@ b as (select p.product_id, sz.group_key, sz.total, coalesce(populated, 0) as pop
 u as (select * from b union all select product_id, 'total', sum(total)::bigint, sum(populated)::bigint from b group by 1)
 select *, round(populated / total * 100, 2) as percentage from u""")
 def ecp(spark, folder):
-    groups = spark.createDataFrame([("identity", "name"), ("identity", "type"), ("identity", "brand"), ("measures", "size"), ("measures", "abv")], "group_key string, field_name string")
-    return M.coverage(field_sources(spark, folder), groups)
+    return M.coverage(field_sources(spark, folder), {"identity": ["name", "type", "brand"], "measures": ["size", "abv"]})
