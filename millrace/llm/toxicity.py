@@ -19,7 +19,9 @@ every score is 0; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import pickle
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import LETTER, NUMBER, classes
-from .common import map_arrow, read_table, worker_resource
+from .common import map_arrow, read_table, release, worker_resource
 from .textcore import Packed, SpanCache, distinct, packed, text_slices
 from .training import calibrated, labelled_sample, remainder, sigmoid
 
@@ -37,8 +39,8 @@ TRAIN_MOST, EPOCHS, BATCH, RATE, WORD_DROPOUT, SEED = 8000, 6, 64, 4e-3, 0.3, 11
 #: A word has a vector of its own if at least so many texts of the sample have it; others are known by their characters.
 WORD_TEXTS = 6
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
-#: Windows scored at a time.
-CHUNK = 2048
+#: Windows scored at a time, and windows whose words are held at a time in training.
+CHUNK, GROUP = 2048, 1 << 13
 
 
 def word_spans(pack: Packed) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +61,7 @@ def word_inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends = pack.bounds[:-1], pack.bounds[1:]
     bucket = (pack.span_hash(starts, ends) % np.uint64(WORD_BUCKETS)).astype(np.int64)
     lengths = ends - starts
-    chars = np.zeros((len(words), PIECE), np.int16)
+    chars = np.zeros((len(words), PIECE), np.uint8)
     cps = pack.cps.astype(np.int64)
     which = np.repeat(np.arange(len(words)), lengths)
     chars[which, np.arange(len(cps)) - np.repeat(starts, lengths)] = np.where(cps < 128, cps, 128 + cps % (CHAR_BUCKETS - 128))
@@ -261,19 +263,28 @@ class Model:
         return sigmoid(self.a * self.margins(texts, cache).astype(np.float64) + self.b)
 
 
-def windows_of(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(windows as rows of WINDOW word numbers, -1 past a text's end; each text's first window)."""
+def window_places(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, end of the text) of every window, and each text's first window."""
     n = np.maximum(0, counts - WINDOW + STRIDE - 1) // STRIDE + 1
     first = np.cumsum(n) - n
     text = np.repeat(np.arange(len(counts)), n)
     begin = np.cumsum(counts) - counts
-    start = begin[text] + (np.arange(int(n.sum())) - first[text]) * STRIDE
+    return begin[text] + (np.arange(int(n.sum())) - first[text]) * STRIDE, (begin + counts)[text], first
+
+
+def window_words(rows: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Windows as rows of WINDOW word numbers, -1 past a text's end."""
     out = np.full((len(start), WINDOW), -1, np.int32)
-    stop = (begin + counts)[text]
     for k in range(WINDOW if len(rows) else 0):
         inside = start + k < stop
         out[inside, k] = rows[start[inside] + k]
-    return out, first
+    return out
+
+
+def windows_of(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all windows, each text's first window)."""
+    start, stop, first = window_places(counts)
+    return window_words(rows, start, stop), first
 
 
 def suspicion(words: list[str], text_words: list[np.ndarray], labels: np.ndarray, least: int = 4) -> np.ndarray:
@@ -297,29 +308,35 @@ def suspicion(words: list[str], text_words: list[np.ndarray], labels: np.ndarray
     return out
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
+def train(texts: Iterable[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
+    """A model of some texts and their labels. Texts are read once, in order, and not kept."""
     if not len(labels) or labels.min() == labels.max():
         return Model(None)
     rng = np.random.default_rng(seed)
     # The sample's words are numbered once.
     seen: dict[str, int] = {}
     text_words = []
-    for _, _, pack in packed([t.lower() for t in texts]):
+    source = iter(texts)
+    while some := [t.lower() for t in itertools.islice(source, 200)]:
+        pack = Packed(some)
         starts, ends = word_spans(pack)
         found = np.array([seen.setdefault(pack.joined[s:e], len(seen)) for s, e in zip(starts.tolist(), ends.tolist())], np.int32)
         text_words += np.split(found, np.cumsum(pack.counts(starts))[:-1])
-    del texts
     words = list(seen)
+    del seen
+    release()
     bucket, chars, lengths = word_inputs(words)
     spread = np.bincount(np.concatenate([np.unique(x) for x in text_words]), minlength=len(words))
     own = (spread >= WORD_TEXTS).astype(np.float32)
     counts = np.array([len(x) for x in text_words])
-    windows, first = windows_of(np.concatenate(text_words), counts)
-    n = np.diff(np.append(first, len(windows)))
+    start, stop, first = window_places(counts)
+    n = np.diff(np.append(first, len(start)))
     odds = np.append(suspicion(words, text_words, labels), -9.0)
-    highest = np.full(len(windows), -9.0)
-    for k in range(WINDOW):
-        np.maximum(highest, odds[windows[:, k]], out=highest)
+    flat = np.concatenate(text_words)
+    del text_words
+    release()
+    windows = lambda which: window_words(flat, start[which], stop[which])
+    highest = np.concatenate([odds[windows(slice(i, i + GROUP))].max(1) for i in range(0, len(start), GROUP)])
 
     p = new_parameters(rng)
     p["word"][np.setdiff1d(np.arange(WORD_BUCKETS), bucket[own > 0])] = 0
@@ -330,7 +347,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     total_steps = None
     for epoch in range(epochs):
         if epoch:
-            highest = all_margins(model, words, windows)
+            highest = all_margins(model, words, windows, len(start))
+            release()
         best = np.array([f + int(np.argmax(highest[f : f + k])) for f, k in zip(first.tolist(), n.tolist())])
         random = first + rng.integers(0, n)
         negative = np.flatnonzero(labels == 0)
@@ -341,7 +359,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
         for i in range(0, len(order), BATCH):
             some = order[i : i + BATCH]
             drop = own * (rng.random(len(words)) >= WORD_DROPOUT) / np.float32(1 - WORD_DROPOUT)
-            _, g = loss_and_gradient(p, bucket, chars, lengths, windows[chosen[some]].T, y[some], drop.astype(np.float32))
+            _, g = loss_and_gradient(p, bucket, chars, lengths, windows(chosen[some]).T, y[some], drop.astype(np.float32))
             steps += 1
             rate = RATE * min(1.0, steps / 20) * max(0.05, 1 - steps / total_steps)
             norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
@@ -351,16 +369,17 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
                 m1 += 0.1 * (v - m1)
                 m2 += 0.01 * (v * v - m2)
                 p[k] -= rate * (m1 / (1 - 0.9**steps)) / (np.sqrt(m2 / (1 - 0.99**steps)) + 1e-7)
-    margin = np.maximum.reduceat(all_margins(model, words, windows), first).astype(np.float64)
+    margin = np.maximum.reduceat(all_margins(model, words, windows, len(start)), first).astype(np.float64)
     model.a, model.b = calibrated(margin, labels)
     return model
 
 
-def all_margins(model: Model, words: list[str], windows: np.ndarray, group: int = 1 << 14) -> np.ndarray:
-    """The margins of all windows of the sample, in groups, so that only a group's words are held at a time."""
+def all_margins(model: Model, words: list[str], windows: Callable[[slice], np.ndarray], n: int) -> np.ndarray:
+    """The margins of all n windows of the sample, in groups, so that only a group's words are held at a time."""
     out = []
-    for i in range(0, len(windows), group):
-        used, local = np.unique(windows[i : i + group], return_inverse=True)
+    for i in range(0, n, GROUP):
+        group = windows(slice(i, i + GROUP))
+        used, local = np.unique(group, return_inverse=True)
         none = int(used[0] < 0)
         some = [words[w] for w in used[none:].tolist()]
         table = model.compute(some)[0][1].reshape(-1, 6 * STATE) if some else np.zeros((1, 6 * STATE), np.float32)
@@ -409,7 +428,9 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     """The production model: trained on labels outside the held-out fold."""
-    return train(*labelled_sample(docs, labels, "toxic", remainder("doc_id", FOLDS) != HELD_OUT, TRAIN_MOST))
+    texts, found = labelled_sample(docs, labels, "toxic", remainder("doc_id", FOLDS) != HELD_OUT, TRAIN_MOST)
+    texts.reverse()
+    return train((texts.pop() for _ in range(len(texts))), found)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
