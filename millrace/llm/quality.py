@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-A document's features are its words (between white space, case and punctuation kept) and the character n-grams of
-each word, hashed to buckets. Each bucket has a learned vector; a document is the mean of its features' vectors; a
+A document's features are its words (between white space, case and punctuation kept), the character n-grams of each
+word, hashed to buckets, and one word bigram: a word that follows itself has a bucket of its own, ``REPEAT``. Each bucket has a learned vector; a document is the mean of its features' vectors; a
 softmax gives the classes. Vectors and output weights are trained by stochastic gradient descent in numpy on a
 bounded labelled sample (``TRAIN_MOST``); a logistic fit on the same sample calibrates the score.
 
@@ -27,6 +27,8 @@ from .training import calibrated, labelled_sample, remainder, sigmoid
 BUCKETS, DIM, GRAMS = 1 << 17, 12, (3, 4, 5)
 TRAIN_MOST, EPOCHS, RATE, SEED = 4000, 6, 0.4, 7
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.5
+#: The bucket of a word that repeats the one before it in its text.
+REPEAT = 0
 #: White space of any script, as Python has it.
 _SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 
@@ -48,7 +50,7 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         first = at[at + n <= ends[of]] if len(at) else at
         owner.append(of[first])
         hashes.append(pack.span_hash(first, first + n))
-    owners, buckets = np.concatenate(owner), np.concatenate(hashes) % np.uint64(BUCKETS)
+    owners, buckets = np.concatenate(owner), 1 + np.concatenate(hashes) % np.uint64(BUCKETS - 1)
     order = np.argsort(owners, kind="stable")
     return np.bincount(owners, minlength=len(words)), buckets[order].astype(np.int64)
 
@@ -73,14 +75,24 @@ class Model:
                 continue
             rows = cache.rows(pack, starts, ends)
             counts = pack.counts(starts)
+            again = sums_by_text(repeats(rows, counts), counts)
             margin, n = (sums_by_text(cache.parts[k][2][rows], counts) for k in (0, 1))
-            out.append(margin / np.maximum(n, 1))
+            out.append((margin + again * float(self.weight[REPEAT])) / np.maximum(n + again, 1))
         return sigmoid(self.a * np.concatenate(out) + self.b) if out else np.zeros(0)
 
     def cache(self) -> SpanCache:
         return SpanCache(self.compute)
 
 
+def repeats(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """1 for each word that is the same as the one before it in its text, else 0."""
+    same = np.zeros(len(rows), np.int64)
+    same[1:] = rows[1:] == rows[:-1]
+    firsts = np.cumsum(counts) - counts
+    same[firsts[counts > 0]] = 0
+    return same
+
+
 def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(distinct buckets, their shares) of each text."""
     cache = SpanCache(lambda words: [word_features(words)], limit=1 << 40)
@@ -90,12 +102,13 @@ def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         if not len(starts):
             out += [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(pack.texts)
             continue
-        n, buckets = cache.gather(0, cache.rows(pack, starts, ends))
-        stops = np.cumsum(sums_by_text(n, pack.counts(starts)))
+        rows, counts = cache.rows(pack, starts, ends), pack.counts(starts)
+        n, buckets = cache.gather(0, rows)
+        stops = np.cumsum(sums_by_text(n, counts))
         a = 0
-        for b in stops.tolist():
-            seen, times = np.unique(buckets[a:b], return_counts=True)
-            out.append((seen, (times / max(1, b - a)).astype(np.float32)))
+        for b, again in zip(stops.tolist(), sums_by_text(repeats(rows, counts), counts).tolist()):
+            seen, times = np.unique(np.append(buckets[a:b], np.full(again, REPEAT)), return_counts=True)
+            out.append((seen, (times / max(1, b - a + again)).astype(np.float32)))
             a = b
         if len(cache.index) > 400_000:
             cache.clear()
