@@ -162,6 +162,10 @@ def lookup(left: DataFrame, right: DataFrame, key: str, count: str, total: int,
     names = [c for c in right.columns if c not in (key, count)]
     hot_side = right.filter(F.col(count) > F.lit(total * share)).select(F.col(key), F.struct(*names, F.lit(True).alias("__known")).alias("__hot"))
     cold_side = right.filter(F.col(count) <= F.lit(total * share)).select(F.col(key).alias("__cold_key"), F.struct(*names, F.lit(True).alias("__known")).alias("__cold"))
+    # A row that no left row has keeps the plan the same where no key is hot; it stands for nothing if one had it.
+    unused = F.lit("\0") if dict(right.dtypes)[key] == "string" else F.lit(-(1 << 63)).cast(dict(right.dtypes)[key])
+    nothing = F.lit(None).cast(hot_side.schema["__hot"].dataType)
+    hot_side = hot_side.unionByName(left.sparkSession.range(1).select(unused.alias(key), nothing.alias("__hot")))
     marked = left.join(F.broadcast(hot_side), key, "left")
     # Left rows with a hot key get a negative salt in a column of its own; a cold row has salt 0 there.
     marked = marked.withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.xxhash64(*left.columns)).otherwise(F.lit(0).cast("bigint")))
