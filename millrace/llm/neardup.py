@@ -11,8 +11,9 @@ Candidates. Rows of components make bands; texts that agree on a band share a bu
 as one node before that, by an aggregation. In each bucket all nodes are paired with one hub, so pairs grow with the
 input and not with a group's square; a pair's multiset overlap is verified exactly on 64-bit shingle hashes. Verified
 links give components. Texts that share a common passage meet in large buckets although they are far apart; nodes of
-buckets with over ``LARGE`` rows and several components get finer bands from a second, independent signature, and meet
-in those instead. In buckets that then still hold several components, all pairs of nodes of different components are
+buckets with over ``LARGE`` rows and several components meet by prefixes of their multisets instead: occurrences are put
+in one order for all nodes, rare ones first, and two multisets of the similarity share one of the first few of each, so
+no similar pair is lost by it. In buckets that then still hold several components, all pairs of nodes of different components are
 compared inside tasks, in blocks of at most ``BLOCK`` x ``BLOCK`` nodes, first by sketches and then, for nodes that a
 sketch left a partner, by their multisets. Only links leave a task, fewer than it has nodes, and pairs of two nodes of
 a bucket's largest component aren't looked at, so no link between components is lost and no list of pairs is made.
@@ -43,8 +44,8 @@ BANDS, ROWS, LEAST = 25, 5, 0.8
 #: Pairs whose sketches agree on less than ``least`` - SLACK of the components aren't looked at further: that is over
 #: five standard deviations below what the similarity gives.
 SLACK = 0.2
-#: Buckets with more open rows are split by finer bands.
-LARGE, FINE_BANDS, FINE_ROWS = 64, 40, 10
+#: Buckets with more open rows are split by prefixes; occurrences are counted in SLOTS numbers, by their hashes.
+LARGE, SLOTS = 64, 1 << 16
 #: Links that one task contracts.
 LINKS = 500_000
 #: Nodes of a bucket that a task compares with as many others.
@@ -312,22 +313,51 @@ def bucketed(rows: DataFrame, total: int) -> DataFrame:
     return written(lookup(rows, buckets, "bucket", "c", total).filter("hub is not null"), "members", total, 200_000)
 
 
-def refined(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, n, bucket) by finer bands of an independent signature, for the given nodes (node, n)."""
+def commonness(sets: DataFrame) -> np.ndarray:
+    """How many occurrences the sets have in each of SLOTS slots of hashes."""
 
     def run(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for x in batch.column("items"):
+                total += np.bincount((np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        slots = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(total[slots])], names=["slot", "c"])
+
+    out = np.zeros(SLOTS, np.int64)
+    for r in map_arrow(sets.select("items"), run, "slot bigint, c bigint").groupBy("slot").agg(F.sum("c").alias("c")).collect():
+        out[r["slot"]] = r["c"]
+    return out
+
+
+def prefix(items: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The first occurrences of a set in the order of all sets: by ``counts`` of their slots, then by hash.
+
+    A partner of the similarity shares at least ``least`` of the set's n occurrences, so of the two prefixes of
+    n - ceil(least * n) + 1 occurrences at least one occurrence is in both.
+    """
+    order = np.lexsort((items, counts[(items % np.uint64(SLOTS)).astype(np.int64)]))
+    return items[order[: len(items) - int(np.ceil(least * len(items) - 1e-6)) + 1]]
+
+
+def prefixed(sets: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(node, n, bucket) by the occurrences in each given node's prefix; ``nodes`` has (node, n)."""
+    wanted = sets.join(nodes.select("node"), "node", "left_semi").select("node", "items")
+    packed_counts = sets.sparkSession.sparkContext.broadcast(commonness(wanted).tobytes())
+
+    def run(batches):
+        counts = np.frombuffer(packed_counts.value, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 items = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("items")]
-                counts = np.array([len(x) for x in items])
-                of = np.repeat(np.arange(len(items)), counts)
-                signatures = bag_signatures(mix(np.concatenate(items) + _SEED), of, np.ones(len(of), np.int64), len(items), FINE_BANDS * FINE_ROWS)
-                found = band_hashes(signatures, FINE_BANDS, FINE_ROWS)
-                node = np.repeat(part.column("node").to_numpy(), FINE_BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.repeat(counts, FINE_BANDS)), pa.array(found.ravel())], names=["node", "n", "bucket"])
+                firsts = [prefix(x, counts, least) for x in items]
+                sizes = [len(x) for x in firsts]
+                node = np.repeat(part.column("node").to_numpy(), sizes)
+                n = np.repeat(np.array([len(x) for x in items], np.int64), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n), pa.array(np.concatenate(firsts).view(np.int64))], names=["node", "n", "bucket"])
 
-    return map_arrow(sets.join(nodes.select("node"), "node", "left_semi").select("node", "items"), run, "node bigint, n bigint, bucket bigint")
+    return map_arrow(wanted, run, "node bigint, n bigint, bucket bigint")
 
 
 def relabelled(comp: DataFrame, links: DataFrame, rows: int) -> DataFrame:
@@ -368,7 +398,8 @@ def classes_of(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows:
     large = written(open_rows.filter(F.col("rows") > LARGE).select("node", "n").distinct(), "large-bucket-nodes", near_rows)
     if not large.isEmpty():
         some = large.count()
-        fine = bucketed(written(refined(sets, large), "fine-bands", some, 500), some * FINE_BANDS)
+        first = written(prefixed(sets, large, least), "prefixes", some, 500)
+        fine = bucketed(first, first.count())
         rest = open_rows.filter(F.col("rows") <= LARGE).select("bucket", "node", "n").unionByName(fine.select("bucket", "node", "n"))
         open_rows = still_open(rest, comp, total * bands)
     if not open_rows.isEmpty():

@@ -103,6 +103,24 @@ def test_a_large_group_of_near_copies(spark):
     assert {r.class_id for r in got if r.doc_id < 600} == {0} and all(r.class_id == r.doc_id for r in got if r.doc_id >= 600)
 
 
+def test_large_open_buckets_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(N, "LARGE", 2)
+    passage = words(random.Random(1), 300)
+
+    def pair(seed):
+        rng = random.Random(seed)
+        both = words(rng, 8)
+        return [" ".join(passage + both + words(rng, 36)) for _ in range(2)]
+
+    # These pairs agree on bands of the first signature in buckets of many texts only, and on no finer band of another.
+    seeds = [243, 611, 649, 670, 1127, 1193]
+    texts = [t for k in [*seeds, *range(10**6, 10**6 + 20)] for t in pair(k)]
+    bags = [bag(t) for t in texts]
+    assert all(0.8 <= jaccard(bags[i], bags[i + 1]) < 0.81 for i in range(0, len(texts), 2))
+    got = {r.doc_id: r.class_id for r in N.classes_of(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == classes(texts)
+
+
 @pytest.mark.parametrize("block", [1, 3, 256])
 def test_all_pairs_of_different_components_meet_in_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(N, "BLOCK", block)
