@@ -6,9 +6,11 @@ kind, checked once (parts at most 255; 13 to 19 digits that pass Luhn; 9 to 15 d
 The field has a variable for each token (run without white space) that has a digit or ``@``; every other token has the
 label O for certain, so it cuts the chain and needs no variable. Labels: O and the four kinds. Potentials: what a token
 looks like and which base match it is in; neighbouring tokens; and skip edges between a token and the next one in the
-document with the same letters and digits, or with the same last seven digits, so mentions far apart settle on one
-label. Edges grow with the tokens, however often one recurs. Marginals are by loopy message passing over all of a
-slice's documents at once. Weights are trained in numpy by gradient ascent on a bounded sample (``TRAIN_MOST``
+document with the same letters and digits, or with the same last seven digits, and between a token and the first one so
+alike that is in a base match: the match reaches each mention in one step, however many there are and however far they
+lie. Tokens of base matches have their label for certain, so mentions don't outvote a match. Edges grow with the tokens,
+however often one recurs. Marginals are by loopy message passing over all of a slice's documents at once, until nothing
+changes (in training, ROUNDS rounds). Weights are trained in numpy by gradient ascent on a bounded sample (``TRAIN_MOST``
 documents), where base matches are the labels, and so are spellings of them that no pattern matches, put at the ends of
 the sample's texts beside random numbers in the same spellings; at times a token's base match is hidden from it.
 
@@ -36,7 +38,9 @@ from .textcore import Packed, text_slices
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)
 TRAIN_MOST, STEPS, RATE, PENALTY, SEED = 4000, 300, 0.3, 1e-4, 5
-ROUNDS, DAMPING, SURE = 8, 0.3, 0.5
+ROUNDS, DAMPING, SETTLED, SURE = 8, 0.3, 1e-4, 0.5
+#: What the label of a base match has before other labels: more than any number of mentions weighs.
+CERTAIN = 1e9
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 
 
@@ -164,7 +168,7 @@ class Tokens:
         self.mark(base)
         self.looks = np.array([looks(w, c) for w, c in zip(words, cues)], np.float32).reshape(self.size, LOOKS)
         near = [i for i in range(1, self.size) if order[i] == order[i - 1] + 1 and self.text[i] == self.text[i - 1]]
-        skips, seen = [], {}
+        skips, seen, matched, alike = [], {}, {}, []
         for i, w in enumerate(words):
             plain = "".join(c for c in w.lower() if c.isalnum())
             digits = "".join(c for c in plain if c in "0123456789")
@@ -176,6 +180,10 @@ class Tokens:
                 if before is not None:
                     skips.append((before, i))
                 seen[self.text[i], key] = i
+                alike.append((i, (self.text[i], key)))
+                if self.label[i]:
+                    matched.setdefault((self.text[i], key), i)
+        skips += [(min(i, m), max(i, m)) for i, key in alike if not self.label[i] and (m := matched.get(key)) is not None]
         skips = sorted(set(skips))
         self.u = np.array([i - 1 for i in near] + [a for a, _ in skips], np.int64)
         self.v = np.array(near + [b for _, b in skips], np.int64)
@@ -223,20 +231,38 @@ class Field:
         self.edge = np.stack([0.0 * np.eye(LABELS), 1.0 * np.eye(LABELS)])
 
     def unary(self, tokens: Tokens, shown: np.ndarray) -> np.ndarray:
-        return tokens.looks @ self.look + np.where(shown[:, None], self.match[tokens.label], 0.0)
+        known = np.where((tokens.label > 0)[:, None], CERTAIN * np.eye(LABELS)[tokens.label], self.match[tokens.label])
+        return tokens.looks @ self.look + np.where(shown[:, None], known, 0.0)
 
-    def marginals(self, tokens: Tokens, shown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(marginals of tokens, of edges) by loopy message passing in the log domain."""
+    def marginals(self, tokens: Tokens, shown: np.ndarray, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(marginals of tokens, of edges) by loopy message passing in the log domain, until nothing changes.
+
+        An edge's messages are made again while messages at its ends change by more than SETTLED; loops that never
+        settle stop after ROUNDS and twice as many rounds as their text has tokens. ``rounds`` is a limit below that.
+        """
         unary = self.unary(tokens, shown)
         u, v, pair = tokens.u, tokens.v, self.edge[tokens.kind]
         forth, back = np.zeros((len(u), LABELS)), np.zeros((len(u), LABELS))
-        belief = unary
-        for _ in range(ROUNDS if len(u) else 0):
-            out = log_sum(belief[u][:, :, None] - back[:, :, None] + pair, 1)
-            home = log_sum(belief[v][:, None, :] - forth[:, None, :] + pair, 2)
-            forth = DAMPING * forth + (1 - DAMPING) * (out - out.max(1, keepdims=True))
-            back = DAMPING * back + (1 - DAMPING) * (home - home.max(1, keepdims=True))
-            belief = unary + np.stack([np.bincount(v, forth[:, y], len(unary)) + np.bincount(u, back[:, y], len(unary)) for y in range(LABELS)], 1)
+        belief = unary.copy()
+        text = np.array(tokens.text, np.int64)
+        limit = ROUNDS + 2 * np.bincount(text)[text[u]] if len(u) else np.zeros(0, np.int64)
+        limit = limit if rounds is None else np.minimum(limit, rounds)
+        on, done = np.arange(len(u)), 0
+        while len(on):
+            a, b = u[on], v[on]
+            out = log_sum(belief[a][:, :, None] - back[on][:, :, None] + pair[on], 1)
+            home = log_sum(belief[b][:, None, :] - forth[on][:, None, :] + pair[on], 2)
+            more_forth = (1 - DAMPING) * (out - out.max(1, keepdims=True) - forth[on])
+            more_back = (1 - DAMPING) * (home - home.max(1, keepdims=True) - back[on])
+            forth[on] += more_forth
+            back[on] += more_back
+            np.add.at(belief, b, more_forth)
+            np.add.at(belief, a, more_back)
+            moved = np.zeros(len(unary), bool)
+            change = np.maximum(np.abs(more_forth).max(1), np.abs(more_back).max(1)) > SETTLED
+            moved[a[change]] = moved[b[change]] = True
+            done += 1
+            on = np.flatnonzero((moved[u] | moved[v]) & (done < limit))
         joint = belief[u][:, :, None] - back[:, :, None] + belief[v][:, None, :] - forth[:, None, :] + pair
         joint = np.exp(joint - joint.max((1, 2), keepdims=True))
         single = np.exp(belief - belief.max(1, keepdims=True))
@@ -311,7 +337,7 @@ def train(texts: list[str], steps: int = STEPS, seed: int = SEED) -> Field:
     moments = [np.zeros_like(w) for w in (field.look, field.match, field.edge)]
     for step in range(steps):
         shown = rng.random(tokens.size) < 0.97
-        single, joint = field.marginals(tokens, shown)
+        single, joint = field.marginals(tokens, shown, ROUNDS)
         error = (truth - single) / tokens.size
         edge_error = (pairs - joint) / tokens.size
         gradients = (

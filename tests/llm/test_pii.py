@@ -61,6 +61,15 @@ def test_a_repeated_mention_takes_the_label_of_its_match(field):
     assert [text[a:b] for _, a, b in added] == ["555-3436", "5553436"] and {k for k, _, _ in added} == {3}
 
 
+@pytest.mark.parametrize("mentions", [5, 20, 50])
+def test_every_mention_takes_the_label_of_its_match(field, mentions):
+    match, again = "call +1 (974) 555-3436 now", " and later 555-3436 of it" * mentions
+    for text in (match + again, again + " " + match):
+        (base, added), = P.find([text, "555-3436 alone"], field)[:1]
+        assert base == brute(text)
+        assert [text[a:b] for _, a, b in added] == ["555-3436"] * mentions and {k for k, _, _ in added} == {3}
+
+
 def test_no_match_no_added_span(field):
     texts = ["555-3436 and 5553436 or 12 of 2024", "plain words only", "x1 x2 x3 " * 50, ""]
     assert all(not base and not added for base, added in P.find(texts, field))
