@@ -9,6 +9,7 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def new_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -29,7 +30,14 @@ def new_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: s
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give executors this package as a zip file, once for each application, wherever the driver was started."""
+    """Give executors this package as a zip file, once for each application, wherever the driver was started.
+
+    The session's Python tasks get their rows in batches of at most BATCH_ROWS from then on, as a batch of long texts
+    stands in memory on both sides.
+    """
+    given = int(spark.conf.get(BATCH_KEY, "10000"))
+    if not 0 < given <= BATCH_ROWS:
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
