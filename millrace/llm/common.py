@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table ``name`` of an input folder, through Spark's reader so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,10 +22,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), a temporary folder is set for the session.
+    Where the session names none, a temporary folder is set for it if it runs on this machine alone; on a cluster
+    executors couldn't read that, so it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     context_dir = spark.sparkContext.getCheckpointDir()
+    if not found and not context_dir and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     if not found:
         found = context_dir or "file://" + tempfile.mkdtemp(prefix="millrace-")
     if not context_dir:
@@ -37,25 +41,45 @@ def new_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+_made: ContextVar[list[tuple[DataFrame, str]] | None] = ContextVar("made", default=None)
+
+
 def written(df: DataFrame, what: str, rows: int | None = None, per_file: int = 50_000) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: its lineage ends there.
 
     ``rows``, an upper estimate of the rows, keeps small tables from many tiny files: there are at most as many files
-    as ``per_file`` rows each need, and at most as many as ``df`` has partitions.
-
-    While it is written, Python tasks get their rows in small batches, as a batch stands in memory on both sides.
+    as ``per_file`` rows each need, and at most as many as ``df`` has partitions. It is for narrow rows whose number
+    grows with the input; what carries whole texts keeps its partitions.
     """
     spark = df.sparkSession
     path = new_dir(spark, what)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // per_file)))
-    before = spark.conf.get(BATCH_ROWS, "10000")
-    spark.conf.set(BATCH_ROWS, str(min(int(before), 1000) if int(before) > 0 else 1000))
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    made = _made.get()
+    if made is not None:
+        made.append((table, path))
+    return table
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables that ``written`` makes inside are deleted at the end, but for those put in the list that it yields.
+
+    What is returned from inside must read kept tables only. Tables kept by an inner ``scratch`` are up to the outer.
+    """
+    outer, made, kept = _made.get(), [], []
+    token = _made.set(made)
     try:
-        df.write.parquet(path)
+        yield kept
     finally:
-        spark.conf.set(BATCH_ROWS, before)
-    return spark.read.schema(df.schema).parquet(path)
+        _made.reset(token)
+        for table, path in made:
+            if not any(table is k for k in kept):
+                drop_dir(table.sparkSession, path)
+            elif outer is not None:
+                outer.append((table, path))
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:

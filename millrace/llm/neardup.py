@@ -11,12 +11,15 @@ Candidates. Rows of components make bands; texts that agree on a band share a bu
 as one node before that, by an aggregation. In each bucket all nodes are paired with one hub, so pairs grow with the
 input and not with a group's square; a pair's multiset overlap is verified exactly on 64-bit shingle hashes. Verified
 links give components. Texts that share a common passage meet in large buckets although they are far apart; nodes of
-buckets with over ``LARGE`` rows and several components meet by prefixes of their multisets instead: occurrences are put
-in one order for all nodes, rare ones first, and two multisets of the similarity share one of the first few of each, so
-no similar pair is lost by it. In buckets that then still hold several components, all pairs of nodes of different components are
-compared inside tasks, in blocks of at most ``BLOCK`` x ``BLOCK`` nodes, first by sketches and then, for nodes that a
-sketch left a partner, by their multisets. Only links leave a task, fewer than it has nodes, and pairs of two nodes of
-a bucket's largest component aren't looked at, so no link between components is lost and no list of pairs is made.
+buckets with over ``LARGE`` rows and several components meet by the finer bands of a second, independent signature
+instead. In buckets that then still hold several components, all pairs of nodes of different components are compared
+inside tasks, in blocks of at most ``BLOCK`` x ``BLOCK`` nodes and ``BLOCK_ITEMS`` occurrences on average, first by
+sketches and then, for nodes that a sketch left a partner, by their multisets. Only links leave a task, fewer than it
+has nodes, and pairs of two nodes of a bucket's largest component aren't looked at, so no list of pairs is made.
+
+Chance of a miss, for a pair at 0.8 exactly: it agrees on no band of the first signature with (1 - 0.8**5)**25, 5e-5;
+if it agrees on bands in large open buckets only, it agrees on none of the finer bands with (1 - 0.8**10)**90, 4e-5.
+Both fall quickly as the similarity grows (4e-6 and 3e-7 at 0.83). Pairs of smaller buckets meet for certain.
 
 Everything stays in DataFrames: links, components and buckets are never collected. Keys with many rows (copies,
 common buckets) are aggregated first and joined by ``lookup``. Rounds end in tables in the shared folder.
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup, map_arrow, read_table, written
+from .common import lookup, map_arrow, read_table, scratch, written
 from .shingles import shingles
 from .textcore import Packed, mix, sums_by_text, text_slices
 
@@ -44,12 +47,14 @@ BANDS, ROWS, LEAST = 25, 5, 0.8
 #: Pairs whose sketches agree on less than ``least`` - SLACK of the components aren't looked at further: that is over
 #: five standard deviations below what the similarity gives.
 SLACK = 0.2
-#: Buckets with more open rows are split by prefixes; occurrences are counted in SLOTS numbers, by their hashes.
-LARGE, SLOTS = 64, 1 << 16
+#: Buckets with more open rows are split by finer bands.
+LARGE, FINE_BANDS, FINE_ROWS = 64, 90, 10
 #: Links that one task contracts.
 LINKS = 500_000
 #: Nodes of a bucket that a task compares with as many others.
 BLOCK = 256
+#: Occurrences of the nodes of a block, on average.
+BLOCK_ITEMS = 4_000_000
 _SEED = np.uint64(0xA0761D6478BD642F)
 _ODD = np.uint64(0xE7037ED1A0B428DB)
 
@@ -238,7 +243,8 @@ def components(links: DataFrame) -> DataFrame:
         if labels is None:
             labels = best.select(F.col("a").alias("node"), F.col("label").alias("comp"))
         else:
-            labels = labels.join(best.select(F.col("a").alias("comp"), "label"), "comp", "left").select("node", F.coalesce("label", "comp").alias("comp"))
+            sizes = written(labels.groupBy("comp").agg(F.count("*").alias("c")).join(best.select(F.col("a").alias("comp"), "label"), "comp"), "cc-sizes", parts * LINKS)
+            labels = lookup(labels, sizes, "comp", "c", labels.count()).select("node", F.coalesce("label", "comp").alias("comp"))
         labels = written(labels, "cc-labels", parts * LINKS)
         n = edges.count()
         for side in ("a", "b"):
@@ -250,16 +256,19 @@ def components(links: DataFrame) -> DataFrame:
 def blocks(rows: DataFrame) -> DataFrame:
     """Open rows with (i, j), the pairs of a bucket's blocks that they belong to.
 
-    A bucket of at most BLOCK rows is one block. In others, rows of the largest component and all other rows have
-    blocks of their own, numbered from 0 down and from 1 up; every block meets each of the others' blocks.
+    A bucket of at most BLOCK rows and BLOCK_ITEMS occurrences is one block. In others, rows of the largest component
+    and all other rows have blocks of their own, numbered from 0 down and from 1 up; every block meets each of the
+    others' blocks.
     """
-    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK))).cast("int")
-    n_major, n_minor = parts(F.col("rows") - F.col("minor")), parts(F.col("minor"))
+    parts = lambda n, items: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK)), F.ceil(items / F.lit(BLOCK_ITEMS))).cast("int")
+    n_major = parts(F.col("rows") - F.col("minor"), F.col("items") - F.col("minor_items"))
+    n_minor = parts(F.col("minor"), F.col("minor_items"))
+    single = (F.col("rows") <= BLOCK) & (F.col("items") <= BLOCK_ITEMS)
     hashed = F.xxhash64("node")
     own = F.when(F.col("comp") == F.col("major"), -F.pmod(hashed, n_major)).otherwise(1 + F.pmod(hashed, n_minor)).cast("int")
     others = F.when(F.col("comp") == F.col("major"), F.sequence(F.lit(1), n_minor)).otherwise(F.sequence(1 - n_major, n_minor))
-    others = F.when(F.col("rows") <= BLOCK, F.array(F.lit(1))).otherwise(others)
-    own = F.when(F.col("rows") <= BLOCK, F.lit(1)).otherwise(own)
+    others = F.when(single, F.array(F.lit(1))).otherwise(others)
+    own = F.when(single, F.lit(1)).otherwise(own)
     met = rows.withColumn("own", own).withColumn("other", F.explode(others))
     return met.select("bucket", "node", "n", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
@@ -313,59 +322,37 @@ def bucketed(rows: DataFrame, total: int) -> DataFrame:
     return written(lookup(rows, buckets, "bucket", "c", total).filter("hub is not null"), "members", total, 200_000)
 
 
-def commonness(sets: DataFrame) -> np.ndarray:
-    """How many occurrences the sets have in each of SLOTS slots of hashes."""
+def refined(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, n, bucket) by finer bands of an independent signature, for the given nodes (node, n)."""
 
     def run(batches):
-        total = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for x in batch.column("items"):
-                total += np.bincount((np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        slots = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(total[slots])], names=["slot", "c"])
-
-    out = np.zeros(SLOTS, np.int64)
-    for r in map_arrow(sets.select("items"), run, "slot bigint, c bigint").groupBy("slot").agg(F.sum("c").alias("c")).collect():
-        out[r["slot"]] = r["c"]
-    return out
-
-
-def prefix(items: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
-    """The first occurrences of a set in the order of all sets: by ``counts`` of their slots, then by hash.
-
-    A partner of the similarity shares at least ``least`` of the set's n occurrences, so of the two prefixes of
-    n - ceil(least * n) + 1 occurrences at least one occurrence is in both.
-    """
-    order = np.lexsort((items, counts[(items % np.uint64(SLOTS)).astype(np.int64)]))
-    return items[order[: len(items) - int(np.ceil(least * len(items) - 1e-6)) + 1]]
-
-
-def prefixed(sets: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """(node, n, bucket) by the occurrences in each given node's prefix; ``nodes`` has (node, n)."""
-    wanted = sets.join(nodes.select("node"), "node", "left_semi").select("node", "items")
-    packed_counts = sets.sparkSession.sparkContext.broadcast(commonness(wanted).tobytes())
-
-    def run(batches):
-        counts = np.frombuffer(packed_counts.value, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
                 items = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("items")]
-                firsts = [prefix(x, counts, least) for x in items]
-                sizes = [len(x) for x in firsts]
-                node = np.repeat(part.column("node").to_numpy(), sizes)
-                n = np.repeat(np.array([len(x) for x in items], np.int64), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n), pa.array(np.concatenate(firsts).view(np.int64))], names=["node", "n", "bucket"])
+                counts = np.array([len(x) for x in items], np.int64)
+                of = np.repeat(np.arange(len(items)), counts)
+                signatures = bag_signatures(mix(np.concatenate(items) + _SEED), of, np.ones(len(of), np.int64), len(items), FINE_BANDS * FINE_ROWS)
+                found = band_hashes(signatures, FINE_BANDS, FINE_ROWS)
+                node = np.repeat(part.column("node").to_numpy(), FINE_BANDS)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.repeat(counts, FINE_BANDS)), pa.array(found.ravel())], names=["node", "n", "bucket"])
 
-    return map_arrow(wanted, run, "node bigint, n bigint, bucket bigint")
+    return map_arrow(sets.join(nodes.select("node"), "node", "left_semi").select("node", "items"), run, "node bigint, n bigint, bucket bigint")
 
 
 def relabelled(comp: DataFrame, links: DataFrame, rows: int) -> DataFrame:
-    """The labels (node, comp) after further links between nodes: only the labels that the links join are searched."""
-    side = lambda name: comp.select(F.col("node").alias(name), F.col("comp").alias(f"{name}_comp"))
-    between = links.join(side("node"), "node").join(side("hub"), "hub").select(F.col("node_comp").alias("node"), F.col("hub_comp").alias("hub")).filter("node <> hub")
-    joined = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("joined"))
-    return written(comp.join(joined, "comp", "left").select("node", F.coalesce("joined", "comp").alias("comp")), "components", rows)
+    """The labels (node, comp) after further links between nodes: only the labels that the links join are searched.
+
+    Hubs and labels may have any share of the rows, so both are looked up.
+    """
+    n = links.count()
+    hubs = links.groupBy("hub").agg(F.count("*").alias("c")).join(comp.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "hub")
+    hubs = written(hubs, "hub-labels", n)
+    named = lookup(links.join(comp.select("node", F.col("comp").alias("node_comp")), "node").select("node_comp", "hub"), hubs, "hub", "c", n)
+    joined = components(named.filter("node_comp <> hub_comp").select(F.col("node_comp").alias("node"), F.col("hub_comp").alias("hub")))
+    joined = joined.select(F.col("node").alias("comp"), F.col("comp").alias("joined"))
+    labels = written(comp.groupBy("comp").agg(F.count("*").alias("c")).join(joined, "comp"), "joined-labels", rows)
+    return written(lookup(comp, labels, "comp", "c", rows).select("node", F.coalesce("joined", "comp").alias("comp")), "components", rows)
 
 
 def near(a: str, b: str, least: float):
@@ -375,38 +362,40 @@ def near(a: str, b: str, least: float):
 
 def classes_of(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id) for each row of docs (doc_id, text); class_id is the class's smallest doc_id."""
-    signed = written(sign(docs, bands, rows), "signatures")
-    total = signed.count()
-    nodes = written(
-        signed.filter("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
-        "nodes",
-        total,
-        20_000,
-    )
-    members = bucketed(nodes.filter("n > 0").select("node", "n", F.explode("bands").alias("bucket")), total * bands)
-    near_rows = members.count()
-    wanted = written(members.select("node").distinct(), "candidates", near_rows)
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sets = written(multiset_table(plain.join(wanted.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")), "multisets", near_rows, 5_000)
-
-    sketches = written(nodes.select("node", "sketch").join(wanted, "node", "left_semi"), "sketches", near_rows)
-
-    tested = written(members.filter((F.col("node") != F.col("hub")) & near("n", "hub_n", least)).select("node", "hub").distinct(), "pairs", near_rows)
-    comp = relabelled(wanted.select("node", F.col("node").alias("comp")), written(verified(tested, sketches, sets, least), "links", tested.count(), 2_000), near_rows)
-    rest = members.filter("size > 2").select("bucket", "node", "n")
-    open_rows = still_open(rest, comp, total * bands)
-    large = written(open_rows.filter(F.col("rows") > LARGE).select("node", "n").distinct(), "large-bucket-nodes", near_rows)
-    if not large.isEmpty():
-        some = large.count()
-        first = written(prefixed(sets, large, least), "prefixes", some, 500)
-        fine = bucketed(first, first.count())
-        rest = open_rows.filter(F.col("rows") <= LARGE).select("bucket", "node", "n").unionByName(fine.select("bucket", "node", "n"))
+    with scratch() as kept:
+        signed = written(sign(docs, bands, rows), "signatures")
+        total = signed.count()
+        nodes = written(
+            signed.filter("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+            "nodes",
+            total,
+            20_000,
+        )
+        members = bucketed(nodes.filter("n > 0").select("node", "n", F.explode("bands").alias("bucket")), total * bands)
+        near_rows = members.count()
+        wanted = written(members.select("node").distinct(), "candidates", near_rows)
+        plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+        # Both joins carry all documents, so they keep their partitions, however few documents are wanted.
+        sets = written(multiset_table(plain.join(wanted.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")), "multisets")
+        sketches = written(nodes.select("node", "sketch").join(wanted, "node", "left_semi"), "sketches")
+
+        tested = written(members.filter((F.col("node") != F.col("hub")) & near("n", "hub_n", least)).select("node", "hub").distinct(), "pairs", near_rows)
+        comp = relabelled(wanted.select("node", F.col("node").alias("comp")), written(verified(tested, sketches, sets, least), "links", tested.count(), 2_000), near_rows)
+        rest = members.filter("size > 2").select("bucket", "node", "n")
         open_rows = still_open(rest, comp, total * bands)
-    if not open_rows.isEmpty():
-        comp = relabelled(comp, written(within(open_rows, sketches, sets, least), "links", open_rows.count(), 2_000), near_rows)
-    final = nodes.join(comp, "node", "left").select("key", F.coalesce("comp", "node").alias("class_id"), "copies")
-    out = lookup(signed.select("doc_id", "key"), written(final, "classes", total), "key", "copies", total)
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+        large = written(open_rows.filter(F.col("rows") > LARGE).select("node", "n").distinct(), "large-bucket-nodes", near_rows)
+        if not large.isEmpty():
+            some = large.count()
+            fine = bucketed(written(refined(sets, large), "fine-bands", some, 500), some * FINE_BANDS)
+            rest = open_rows.filter(F.col("rows") <= LARGE).select("bucket", "node", "n").unionByName(fine.select("bucket", "node", "n"))
+            open_rows = still_open(rest, comp, total * bands)
+        if not open_rows.isEmpty():
+            comp = relabelled(comp, written(within(open_rows, sketches, sets, least), "links", open_rows.count(), 2_000), near_rows)
+        final = nodes.join(comp, "node", "left").select("key", F.coalesce("comp", "node").alias("class_id"), "copies")
+        final = written(final, "classes", total)
+        kept += [signed, final]
+        out = lookup(signed.select("doc_id", "key"), final, "key", "copies", total)
+        return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -414,10 +403,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows that repeat both doc_id and text count once.
     """
-    classes = written(classes_of(docs), "document-classes")
+    with scratch() as lasting:
+        classes = written(classes_of(docs), "document-classes")
+        lasting.append(classes)
     kept = classes.filter("doc_id = class_id").groupBy("doc_id").count()
     # Ids grow with the corpus, so they aren't broadcast, however few they are in a small one.
-    out = docs.join(kept.select(F.col("doc_id").alias("__kept")).hint("merge"), F.col("doc_id").cast("bigint") == F.col("__kept"), "left_semi")
+    ids = kept.select("doc_id").hint("merge")
+    out = docs.join(ids, docs["doc_id"].cast("bigint") == ids["doc_id"], "left_semi")
     if not kept.filter("count > 1").isEmpty():
         out = out.dropDuplicates(["doc_id", "text"])
     if not classes.filter("doc_id is null").isEmpty():
@@ -426,14 +418,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def still_open(rest: DataFrame, comp: DataFrame, total: int) -> DataFrame:
-    """Rows of buckets that hold several components: (bucket, node, n, comp, major, minor, rows).
+    """Rows of buckets that hold several components: (bucket, node, n, comp, major, minor, minor_items, items, rows).
 
-    ``major`` is the bucket's largest component, ``minor`` the number of its rows of other components.
+    ``major`` is the bucket's largest component, ``minor`` the number of its rows of other components; items are the
+    occurrences of its rows.
     """
     labelled = rest.join(comp, "node").select("bucket", "node", "n", "comp")
-    sizes = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-    top = sizes.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("most"), F.count("*").alias("k"), F.sum("c").alias("rows")).filter("k > 1")
-    top = written(top.select("bucket", F.col("most.comp").alias("major"), (F.col("rows") - F.col("most.c")).alias("minor"), "rows", F.col("rows").alias("c")), "open-buckets", total, 200_000)
+    sizes = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("items"))
+    top = sizes.groupBy("bucket").agg(F.max(F.struct("c", "comp", "items")).alias("most"), F.count("*").alias("k"), F.sum("c").alias("rows"), F.sum("items").alias("items")).filter("k > 1")
+    minor = [(F.col("rows") - F.col("most.c")).alias("minor"), (F.col("items") - F.col("most.items")).alias("minor_items")]
+    top = written(top.select("bucket", F.col("most.comp").alias("major"), *minor, "items", "rows", F.col("rows").alias("c")), "open-buckets", total, 200_000)
     return written(lookup(labelled, top, "bucket", "c", total).filter("major is not null"), "open-rows", total, 200_000)
 
 

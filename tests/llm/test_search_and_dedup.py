@@ -121,11 +121,37 @@ def test_large_open_buckets_lose_no_pair(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == classes(texts)
 
 
+def test_borderline_pairs_that_all_share_a_passage(spark):
+    # By default settings: hundreds of texts in one bucket of each band, each with one partner at 0.8 to 0.81.
+    passage, texts = words(random.Random(1), 300), []
+    for seed in range(150):
+        rng = random.Random(10**7 + seed)
+        both = words(rng, 8)
+        texts += [" ".join(passage + both + words(rng, 36)) for _ in range(2)]
+    got = {r.doc_id: r.class_id for r in N.classes_of(documents(spark, texts)).collect()}
+    want = classes(texts)
+    assert len(set(want)) == 150 and [got[i] for i in range(len(texts))] == want
+
+
+@pytest.mark.parametrize("items", [40, 10**6])
+def test_heavy_buckets_are_cut_into_blocks(spark, monkeypatch, items):
+    monkeypatch.setattr(N, "BLOCK_ITEMS", items)
+    columns = "bucket bigint, node bigint, n bigint, comp bigint, major bigint, minor bigint, minor_items bigint, items bigint, rows bigint"
+    rows = spark.createDataFrame([(9, n, 10, n % 6, 0, 15, 150, 180, 18) for n in range(18)], columns)
+    groups = {}
+    for r in N.blocks(rows).collect():
+        groups.setdefault((r.i, r.j), set()).add(r.node)
+    met = {(a, b) for g in groups.values() for a in g for b in g if a < b and a % 6 != b % 6}
+    assert met == {(a, b) for a in range(18) for b in range(a + 1, 18) if a % 6 != b % 6}
+    assert (len(groups) > 1) == (items == 40)
+
+
 @pytest.mark.parametrize("block", [1, 3, 256])
 def test_all_pairs_of_different_components_meet_in_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(N, "BLOCK", block)
     comps = [0, 0, 0, 0, 4, 4, 6, 7, 8]
-    rows = spark.createDataFrame([(9, n, 10, c, 0, 5, 9) for n, c in enumerate(comps)], "bucket bigint, node bigint, n bigint, comp bigint, major bigint, minor bigint, rows bigint")
+    columns = "bucket bigint, node bigint, n bigint, comp bigint, major bigint, minor bigint, minor_items bigint, items bigint, rows bigint"
+    rows = spark.createDataFrame([(9, n, 10, c, 0, 5, 50, 90, 9) for n, c in enumerate(comps)], columns)
     groups = {}
     for r in N.blocks(rows).collect():
         groups.setdefault((r.i, r.j), []).append(r.node)
