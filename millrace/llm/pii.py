@@ -39,6 +39,7 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)
 TRAIN_MOST, STEPS, RATE, PENALTY, SEED = 4000, 300, 0.3, 1e-4, 5
 ROUNDS, DAMPING, SETTLED, SURE = 8, 0.3, 1e-4, 0.5
+# TRAIN_MOST bounds unlabelled documents: base matches and spellings of them are their labels.
 #: What the label of a base match has before other labels: more than any number of mentions weighs.
 CERTAIN = 1e9
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -163,7 +164,7 @@ class Tokens:
             order.append(k)
             cue = pack.joined[starts[k - 1] : ends[k - 1]].lower().strip(":=#.,") if k and starts[k - 1] >= offset and ends[k - 1] - starts[k - 1] < 12 else ""
             cues.append(_CUES.get(cue, -1))
-        self.size = len(words)
+        self.size, self.bounds = len(words), pack.bounds
         self.label = np.zeros(self.size, np.int64)
         self.mark(base)
         self.looks = np.array([looks(w, c) for w, c in zip(words, cues)], np.float32).reshape(self.size, LOOKS)
@@ -190,14 +191,20 @@ class Tokens:
         self.kind = np.array([0] * len(near) + [1] * len(skips), np.int64)
 
     def mark(self, base: list[list[tuple[int, int, int]]]) -> None:
-        """The label of the base match that a token touches."""
-        spans = {t: sorted(((a, b, k) for k, a, b in base[t])) for t in set(self.text) if base[t]}
-        for i, t in enumerate(self.text):
-            for a, b, k in spans.get(t, ()):
-                if a >= self.end[i]:
-                    break
-                if b > self.start[i]:
-                    self.label[i] = k + 1
+        """The label of the base match that a token touches; of several, that of the one that starts last."""
+        offset = self.bounds[np.array(self.text, np.int64)]
+        starts, ends = np.array(self.start, np.int64) + offset, np.array(self.end, np.int64) + offset
+        begin, stop = np.full(self.size, -1), np.full(self.size, -1)
+        for kind in range(len(KINDS)):
+            spans = np.array([(a + low, b + low) for low, found in zip(self.bounds.tolist(), base) for k, a, b in found if k == kind], np.int64).reshape(-1, 2)
+            if not len(spans):
+                continue
+            spans = spans[np.argsort(spans[:, 0], kind="stable")]
+            # A kind's matches don't overlap, so only the last that starts before the token's end can touch it.
+            last = np.searchsorted(spans[:, 0], ends) - 1
+            a, b = spans[np.maximum(last, 0)].T
+            later = (last >= 0) & (b > starts) & ((a > begin) | ((a == begin) & (b >= stop)))
+            self.label[later], begin[later], stop[later] = kind + 1, a[later], b[later]
 
 
 LOOKS = 26
@@ -205,18 +212,17 @@ LOOKS = 26
 
 def looks(word: str, cue: int) -> list[float]:
     """What a token looks like, as LOOKS numbers of 0 or 1."""
-    head = word[:64]
     digits = [c for c in word if c in "0123456789"]
     n = len(digits)
-    letters = sum(c.isalpha() for c in head)
-    dots, at = head.count("."), head.count("@")
-    four = head.split(".")
+    letters = sum(c.isalpha() for c in word)
+    dots, at = word.count("."), word.count("@")
+    four = word.split(".")
     found = [
-        1.0, at == 1, at == 1 and "." in head.split("@")[-1], at > 1,
+        1.0, at == 1, at == 1 and "." in word.split("@")[-1], at > 1,
         dots == 3 and len(four) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in four if p.isascii()) and all(four),
         0 < dots != 3, n <= 2, n == 3, n == 4, 5 <= n <= 6, n == 7, 8 <= n <= 9, 10 <= n <= 12, 13 <= n <= 19, n > 19,
-        13 <= n <= 19 and letters == 0 and luhn("".join(digits)), word[0] == "+", "(" in head or ")" in head, "-" in head,
-        letters > 0, letters > 3 and at == 0, "=" in head or '"' in head,
+        13 <= n <= 19 and letters == 0 and luhn("".join(digits)), word[0] == "+", "(" in word or ")" in word, "-" in word,
+        letters > 0, letters > 3 and at == 0, "=" in word or '"' in word,
         *(cue == k for k in range(4)),
     ]
     return [float(x) for x in found]

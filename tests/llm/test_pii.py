@@ -61,7 +61,7 @@ def test_a_repeated_mention_takes_the_label_of_its_match(field):
     assert [text[a:b] for _, a, b in added] == ["555-3436", "5553436"] and {k for k, _, _ in added} == {3}
 
 
-@pytest.mark.parametrize("mentions", [5, 20, 50])
+@pytest.mark.parametrize("mentions", [1, 4, 5, 8, 20, 40, 50, 400])
 def test_every_mention_takes_the_label_of_its_match(field, mentions):
     match, again = "call +1 (974) 555-3436 now", " and later 555-3436 of it" * mentions
     for text in (match + again, again + " " + match):
@@ -70,6 +70,38 @@ def test_every_mention_takes_the_label_of_its_match(field, mentions):
         assert [text[a:b] for _, a, b in added] == ["555-3436"] * mentions and {k for k, _, _ in added} == {3}
 
 
+@pytest.mark.parametrize("other", ["5553436", "974-555-3436", "555 3436"])
+def test_spellings_in_turn(field, other):
+    text = "call +1 (974) 555-3436 now" + f" then 555-3436 or {other} again" * 8
+    (_, added), = P.find([text], field)
+    assert sum(text[a:b] == "555-3436" for _, a, b in added) == 8 and {k for k, _, _ in added} == {3}
+    assert " " in other or sum(text[a:b] == other for _, a, b in added) == 8
+
+
+def test_many_spans_of_a_text_take_linear_time(field):
+    import time
+
+    text = " ".join(f"a{i}@b{i}.example.com" for i in range(100_000))
+    began = time.perf_counter()
+    (base, added), = P.find([text], field)
+    assert len(base) == 100_000 and not added and time.perf_counter() - began < 60
+
+
+def test_marks_are_those_of_the_last_match_that_touches(field):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["a1", "+1 22", "3.4.5.6", "x@y.z", "7777", "4111111111111111"]) for _ in range(30)) for _ in range(40)]
+    pack = Packed(texts)
+    base = P.base_spans(pack)
+    tokens = P.Tokens(pack, base)
+    for t, a, b, label in zip(tokens.text, tokens.start, tokens.end, tokens.label.tolist()):
+        touching = [(x, y, k) for k, x, y in base[t] if x < b and y > a]
+        assert label == (max(touching)[2] + 1 if touching else 0)
+
+
+def test_a_long_token_is_judged_whole():
+    assert P.looks("1" * 100 + "@a.b", -1)[1] == 1.0 and P.looks("1" * 100 + "(", -1)[17] == 1.0
+
+
 def test_no_match_no_added_span(field):
     texts = ["555-3436 and 5553436 or 12 of 2024", "plain words only", "x1 x2 x3 " * 50, ""]
     assert all(not base and not added for base, added in P.find(texts, field))
