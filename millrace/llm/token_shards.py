@@ -6,8 +6,14 @@ skippable frames: the document index (doc ids, null marks, token counts), and th
 say how many entries it has. The seek table has each frame's compressed size, decompressed size, and the low 32 bits
 of the XXH64 of its content, so a reader fetches, decompresses and verifies only the frames of the documents it wants.
 
+A shard has about ``SHARD_BYTES`` of text and at most about ``SHARD_DOCS`` documents, whatever the table's size, so
+neither its writer nor the reader of its document index grows with the table. Rows are dealt to shards by ranges of
+doc_id and, within one, of the text's hash, so that many rows with one doc_id, or none, don't share a shard.
+
 Defined cases: a null or empty text has the end id alone; a null doc_id sorts first; rows with equal doc_id are
-ordered by text; an empty table writes shards without documents, and reads back no rows; further columns are ignored.
+ordered by their text's hash, then by text; an empty table writes one shard without documents, and reads back no rows;
+further columns are ignored; the tokenizer's added tokens are one id each where their strings stand in a text, as the
+library has it.
 A shard appears whole or not at all, and a task that runs again writes the same bytes under the same name.
 """
 
@@ -23,12 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import AtomicFile, file_system, map_arrow, new_dir, read_table, text_or_empty, wide_enough, worker_resource
+from .common import AtomicFile, file_system, map_arrow, new_dir, read_table, text_or_empty, worker_resource
 from .textcore import Packed, SpanCache, packed, sums_by_text, text_slices
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 FRAME_TOKENS = 1 << 16
+#: About the bytes of text, and the documents, of a shard.
+SHARD_BYTES, SHARD_DOCS = 16 << 20, 250_000
 # Fixed values of the zstandard format and its seekable variant.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC, HAS_CHECKSUM = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1, 0x80
 # White space that separates words whatever the tokenizer's normaliser does: both its rules and its pattern end there.
@@ -45,9 +54,13 @@ def tokenizer(name: str):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(name if os.sep in name else public_tokenizers.path(name))
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
-    return found
+    return Tokenizer.from_file(name if os.sep in name else public_tokenizers.path(name))
+
+
+@lru_cache(maxsize=1)
+def added_tokens(name: str) -> list[str]:
+    """Strings that the tokenizer knows as one token wherever they stand in a text, in lower case."""
+    return sorted({t.content.lower() for t in tokenizer(name).get_added_tokens_decoder().values()})
 
 
 @lru_cache(maxsize=1)
@@ -82,10 +95,22 @@ def worker_cache(name: str) -> SpanCache:
 def encode_texts(texts: list[str], name: str = TOKENIZER, end_id: int | None = END_ID) -> Iterator[np.ndarray]:
     """The ids of each text, in order; the end id follows if one is given.
 
-    Each distinct word is encoded once by the tokenizer and the ids put together.
+    Each distinct word is encoded once by the tokenizer and the ids put together. A text that may hold an added
+    token, which reaches over words, is encoded whole.
     """
-    cache = worker_cache(name)
     tail = np.array([] if end_id is None else [end_id], np.uint32)
+    added = added_tokens(name)
+    first = added[0][:1] if added else ""
+    first = first if all(x.startswith(first) for x in added) else ""  # one character rules out most texts
+    special = [any(x in t.lower() for x in added) if added and first in t else False for t in texts]
+    plain = encode_words([t if not s else "" for t, s in zip(texts, special)], name)
+    for text, whole, ids in zip(texts, special, plain):
+        found = np.array(tokenizer(name).encode(text, add_special_tokens=False).ids, np.uint32) if whole else ids
+        yield np.concatenate([found, tail])
+
+
+def encode_words(texts: list[str], name: str) -> Iterator[np.ndarray]:
+    cache = worker_cache(name)
     for _, _, pack in packed(texts):
         starts, ends = words(pack)
         # The tokenizer lowers case, so words that differ in the case of ASCII letters alone share their ids.
@@ -95,7 +120,7 @@ def encode_texts(texts: list[str], name: str = TOKENIZER, end_id: int | None = E
         stops = np.cumsum(sums_by_text(n, pack.counts(starts))) if len(rows) else np.zeros(len(pack.texts), np.int64)
         a = 0
         for b in stops.tolist():
-            yield np.concatenate([ids[a:b], tail])
+            yield ids[a:b]
             a = b
 
 
@@ -211,6 +236,12 @@ class ShardReader:
         self.file.close()
 
 
+def shards_for(docs: DataFrame) -> int:
+    """How many shards the table needs by bytes and by rows."""
+    size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    return max(1, -(-size["bytes"] // SHARD_BYTES), -(-size["n"] // SHARD_DOCS))
+
+
 def write_shards(docs: DataFrame, folder: str, shards: int, name: str = TOKENIZER, end_id: int | None = END_ID) -> list[tuple[int, int]]:
     """Write (doc_id, text) rows as shards in ascending doc_id order; (shard, tokens) of each, in order.
 
@@ -228,7 +259,9 @@ def write_shards(docs: DataFrame, folder: str, shards: int, name: str = TOKENIZE
                         out.add(doc_id, ids)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_tokens": pa.array([out.n_tokens], pa.int64())})
 
-    ranged = docs.select("doc_id", text_or_empty("text").alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    texts = docs.select("doc_id", text_or_empty("text").alias("text"))
+    order = ["doc_id", F.xxhash64("text")]
+    ranged = texts.repartitionByRange(shards, *order).sortWithinPartitions(*order, "text")
     return sorted(map(tuple, map_arrow(ranged, run, "shard int, n_tokens bigint").collect()))
 
 
@@ -260,7 +293,8 @@ def read_shards(spark: SparkSession, folder: str, manifest: list[tuple[int, int]
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_dir(spark, "token-shards")
-    manifest = write_shards(read_table(spark, sf_dir, "documents"), folder, wide_enough(spark))
+    docs = read_table(spark, sf_dir, "documents")
+    manifest = write_shards(docs, folder, shards_for(docs))
     starts = np.cumsum([0, *(n for _, n in manifest)]).tolist()
 
     def run(batches):

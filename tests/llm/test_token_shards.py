@@ -3,16 +3,23 @@ import zlib
 import numpy as np
 import pytest
 
+import public_tokenizers
+from tokenizers import Tokenizer
+
 from millrace.llm import token_shards as T
 from millrace.llm.common import file_system
 
 from .helpers import ODD_TEXTS, documents, write_tables
 
-MORE = ["it's 's ''s we'll'd don't", "A.B,c;d e-f 12 3a a3", "x≠y ≮ z", "<|endoftext|> a<|startoftext|>b", "\x1c\x85  a b"]
+SPECIAL = ["<|endoftext|> a<|startoftext|>b", "<|EndOfText|> it <|endoftext|", "<|<|endoftext|>|>", "x " * 3000 + "<|endoftext|>it's"]
+MORE = ["it's 's ''s we'll'd don't", "A.B,c;d e-f 12 3a a3", "x≠y ≮ z", *SPECIAL, "\x1c\x85  a b"]
+
+
+LIBRARY = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def whole(text):
-    return T.tokenizer(T.TOKENIZER).encode(text or "", add_special_tokens=False).ids + [T.END_ID]
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids + [2]
 
 
 def test_encodes_as_the_library_does():
@@ -20,6 +27,34 @@ def test_encodes_as_the_library_does():
     assert [x.tolist() for x in T.encode_texts([t or "" for t in texts])] == [whole(t) for t in texts]
 
 
+def test_added_tokens_are_one_id():
+    got = [x.tolist() for x in T.encode_texts(["<|endoftext|>", "a<|startoftext|>"], end_id=None)]
+    assert got[0] == [49407] and got[1][-1] == 49406 and len(got[1]) == 2
+
+
+def test_random_texts_as_the_library_does():
+    import random
+
+    rng = random.Random(4)
+    parts = [" ", "\n", "a", "Be", "'s", "'LL", "1", "é", "e\u0301", "中", ".", "<|", "|>", "endoftext", "<|endoftext|>", "_", "-", "\u00a0", "İ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    assert [x.tolist() for x in T.encode_texts(texts)] == [whole(t) for t in texts]
+
+
+def test_shards_follow_bytes_and_rows(spark, tmp_path, monkeypatch):
+    docs = documents(spark, ["some text"] * 40 + [None], ids=[5] * 20 + list(range(20)) + [None])
+    assert T.shards_for(docs) == 1 and T.shards_for(docs.limit(0)) == 1
+    monkeypatch.setattr(T, "SHARD_DOCS", 10)
+    assert T.shards_for(docs) == 5
+    monkeypatch.setattr(T, "SHARD_BYTES", 36)
+    assert T.shards_for(docs) == 10
+    varied = documents(spark, [f"text {i}" for i in range(200)], ids=[None] * 100 + [7] * 100)
+    manifest = T.write_shards(varied, f"file://{tmp_path}/s", 8)
+    assert len(manifest) == 8 and all(0 < n < 900 for _, n in manifest)
+    read = T.read_shards(spark, f"file://{tmp_path}/s", manifest).collect()
+    assert sorted((r.doc_id or 0, tuple(r.ids)) for r in read) == sorted((7 * (i >= 100), tuple(whole(f"text {i}"))) for i in range(200))
+
+
 def test_query_against_whole_texts(spark, tmp_path):
     texts = (ODD_TEXTS + MORE) * 3
     ids = [(7 * i) % len(texts) for i in range(len(texts))]
