@@ -5,8 +5,15 @@ distinct matches it hasn't met to DuckDB: rows (word, position, id) join the mer
 of least rank is contracted, until no word has a pair that merges; an ordered aggregation decodes the ids. Texts
 never leave their task: no shuffle. Memory: one slice of text, and a bounded cache of distinct matches.
 
+A step costs as much as its words have ids left, and a word takes as many steps as it has merges. So a match of more
+than ``LONG`` bytes is given to the recursion as pieces that overlap by half, each a word of its own, which are put
+together where two neighbours begin the same id at the same byte. That is exact: a sequence of ids is what the merges
+make of its bytes if, and only if, that holds for each two neighbours in it (a merge over a bound between two ids would
+be the next in those two alone as well, since they shrink in the same order there), and each two neighbours stand side
+by side in one piece. Pieces that share no such place are made four times as long, up to the whole match.
+
 Defined cases: a null or empty text has no ids, and decodes to nothing; a null doc_id stays null; repeated rows give
-repeated rows; an empty table gives none; further columns are ignored.
+repeated rows; an empty table gives none; further columns are ignored by the query and kept by ``encode``.
 """
 
 from __future__ import annotations
@@ -24,8 +31,10 @@ from .common import map_arrow, read_table, worker_resource
 from .textcore import Packed, SpanCache, packed, sums_by_text, text_slices
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Words given to DuckDB at a time.
-WORDS_AT_ONCE = 30_000
+#: Words, and bytes of them, given to DuckDB at a time.
+WORDS_AT_ONCE, BYTES_AT_ONCE = 30_000, 1 << 20
+#: Longer words are put together from pieces of at first so many bytes.
+LONG = 128
 # Classes of code points.
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
@@ -133,6 +142,8 @@ class Coder:
                 if left is not None and right is not None:
                     pairs.append(left * 1048576 + right)
                     merged.append(rank)
+        self.length = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.length[list(ranks.values())] = list(map(len, ranks))
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         merge_rows = pa.table({"pair": pa.array(pairs, pa.int64()), "rank": pa.array(merged, pa.int32())})
@@ -144,26 +155,90 @@ class Coder:
         self.con.unregister("merge_rows")
         self.con.unregister("vocab_rows")
 
-    def some(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def contracted(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, all ids), by the recursion."""
         lens = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.frombuffer(b"".join(words), np.uint8)
         w = np.repeat(np.arange(len(words), dtype=np.int32), lens)
         pos = (np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)).astype(np.int32)
         self.con.register("word_bytes", pa.table({"w": w, "pos": pos, "id": self.byte[flat]}))
         ids = self.con.sql(ENCODE).to_arrow_table()
-        self.con.register("ids", ids)
-        decoded = self.con.sql(DECODE).to_arrow_table()
-        self.con.unregister("ids")
         self.con.unregister("word_bytes")
-        n_ids = np.bincount(ids["w"].to_numpy(), minlength=len(words))
-        back = [bytes.fromhex(x) for x in decoded["hex"].to_pylist()]
-        n_bytes = np.zeros(len(words), np.int64)
-        n_bytes[decoded["w"].to_numpy()] = np.fromiter(map(len, back), np.int64, len(back))
-        return n_ids, ids["id"].to_numpy().astype(np.uint32), n_bytes, np.frombuffer(b"".join(back), np.uint8)
+        return np.bincount(ids["w"].to_numpy(), minlength=len(words)), ids["id"].to_numpy()
+
+    def groups(self, words: list[bytes]) -> Iterator[list[bytes]]:
+        """The words in order, as many at a time as DuckDB takes."""
+        some, size = [], 0
+        for word in words:
+            if some and (len(some) == WORDS_AT_ONCE or size + len(word) > BYTES_AT_ONCE):
+                yield some
+                some, size = [], 0
+            some.append(word)
+            size += len(word)
+        if some:
+            yield some
+
+    def long(self, word: bytes, piece: int = LONG) -> np.ndarray:
+        """The ids of a long word, from pieces."""
+        while piece < len(word):
+            half = piece // 2
+            starts = range(0, len(word) - half, half)
+            counts, ids = (np.concatenate(x) for x in zip(*map(self.contracted, self.groups([word[s : s + piece] for s in starts]))))
+            found = self.joined(np.arange(len(starts)) * half, counts, ids)
+            if found is not None:
+                return found
+            piece *= 4
+        return self.contracted([word])[1]
+
+    def joined(self, starts: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> np.ndarray | None:
+        """The ids of pieces that begin at ``starts``, put together at the first id that each has in common with the
+        one before it; None if some piece has none."""
+        of = np.repeat(np.arange(len(starts)), counts)
+        first = np.cumsum(counts) - counts
+        size = self.length[ids]
+        before = np.cumsum(size) - size
+        at = starts[of] + before - before[first][of]
+        out, low = [], 0
+        for k in range(len(starts) - 1):
+            here, there = slice(first[k], first[k] + counts[k]), slice(first[k + 1], first[k + 1] + counts[k + 1])
+            _, a, b = np.intersect1d((at[here] << 32) | ids[here], (at[there] << 32) | ids[there], assume_unique=True, return_indices=True)
+            if not len(a):
+                return None
+            out.append(ids[low : first[k] + a[0]])
+            low = first[k + 1] + b[0]
+        return np.concatenate([*out, ids[low:]])
+
+    def decoded(self, counts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of bytes of each word, all bytes) from the ids."""
+        w = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        pos = (np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+        self.con.register("ids", pa.table({"w": w, "pos": pos, "id": ids}))
+        rows = self.con.sql(DECODE).to_arrow_table()
+        self.con.unregister("ids")
+        back = [bytes.fromhex(x) for x in rows["hex"].to_pylist()]
+        n_bytes = np.zeros(len(counts), np.int64)
+        n_bytes[rows["w"].to_numpy()] = np.fromiter(map(len, back), np.int64, len(back))
+        return n_bytes, np.frombuffer(b"".join(back), np.uint8)
+
+    def some(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        short = [k for k, x in enumerate(words) if len(x) <= LONG]
+        parts: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
+        if short:
+            n, ids = self.contracted([words[k] for k in short])
+            if len(short) < len(words):
+                for k, x in zip(short, np.split(ids, np.cumsum(n)[:-1])):
+                    parts[k] = x
+        if len(short) < len(words):
+            for k, x in enumerate(words):
+                if len(x) > LONG:
+                    parts[k] = self.long(x)
+            n, ids = np.fromiter(map(len, parts), np.int64, len(parts)), np.concatenate(parts)
+        n_bytes, back = self.decoded(n, ids)
+        return n, ids.astype(np.uint32), n_bytes, back
 
     def __call__(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids of each word), (decoded bytes of each word), as lengths and one flat array each."""
-        got = [self.some([x.encode("utf-8", "surrogatepass") for x in words[i : i + WORDS_AT_ONCE]]) for i in range(0, len(words), WORDS_AT_ONCE)]
+        got = [self.some(group) for group in self.groups([x.encode("utf-8", "surrogatepass") for x in words])]
         n_ids, ids, n_bytes, back = (np.concatenate(x) for x in zip(*got))
         return [(n_ids, ids), (n_bytes, back)]
 
@@ -191,11 +266,14 @@ def encode_texts(texts: list[str], name: str = RANKS) -> Iterator[tuple[np.ndarr
 
 
 def encode(docs: DataFrame, name: str = RANKS) -> DataFrame:
-    """docs' columns with ``ids`` (array of int) and ``decoded`` (binary) for the column ``text``."""
+    """docs' columns with ``ids`` (array of int) and ``decoded`` (binary) for the column ``text``.
+
+    Input columns of these two names give way to them; all others stay.
+    """
     from pyspark.sql import types as T
 
     fields = [f for f in docs.schema.fields if f.name not in ("ids", "decoded")]
-    plain = docs.select(*[f"`{f.name}`" for f in fields])
+    plain = docs.select(*[f"`{f.name.replace('`', '``')}`" for f in fields])
     out = T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.BinaryType())])
 
     def run(batches):

@@ -59,3 +59,35 @@ def test_cache_limit_changes_nothing(reference):
         for _, _, pack in packed([text]):
             rows = cache.rows(pack, *B.matches(pack))
             assert cache.gather(0, rows)[1].tolist() == reference.encode_ordinary(text)
+
+
+def test_long_matches_as_tiktoken(reference):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéñ"
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (127, 128, 129, 191, 193, 500, 3000)]
+    texts += [x * n for x in ("a", "ab", "abc", "-", "=", "é", "中", "haha", "0") for n in (100, 129, 1001)]
+    texts += ["the" * 300 + "x" * 301 + "the" * 300, " " * 999 + "a" + "\n" * 777, "日本語の文章" * 90]
+    for text, (ids, back) in zip(texts, B.encode_texts(texts), strict=True):
+        assert ids.tolist() == reference.encode_ordinary(text), text[:40]
+        assert back == text.encode()
+
+
+def test_pieces_without_a_common_place_are_made_longer(reference, monkeypatch):
+    monkeypatch.setattr(B, "LONG", 8)
+    rng = random.Random(5)
+    coder = B.Coder()
+    for word in ["-" * 300, "a" * 77, "".join(rng.choice("ab") for _ in range(400)), "internationalization" * 12]:
+        assert coder.long(word.encode(), 8).tolist() == reference.encode_ordinary(word)
+
+
+def test_a_match_of_100_000_letters(reference):
+    import time
+
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))
+    began = time.perf_counter()
+    (ids, back), = B.encode_texts([text])
+    assert back == text.encode() and len(ids) < len(text) and time.perf_counter() - began < 60
+    again = B.Coder()
+    head = text[:4000]
+    assert again.long(head.encode()).tolist() == reference.encode_ordinary(head)
