@@ -323,7 +323,7 @@ def bucketed(rows: DataFrame, total: int) -> DataFrame:
 
 
 def refined(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, n, bucket) by finer bands of an independent signature, for the given nodes (node, n)."""
+    """(bucket, node, n, comp) by finer bands of an independent signature, for the given nodes (node, comp)."""
 
     def run(batches):
         for batch in batches:
@@ -334,10 +334,10 @@ def refined(sets: DataFrame, nodes: DataFrame) -> DataFrame:
                 of = np.repeat(np.arange(len(items)), counts)
                 signatures = bag_signatures(mix(np.concatenate(items) + _SEED), of, np.ones(len(of), np.int64), len(items), FINE_BANDS * FINE_ROWS)
                 found = band_hashes(signatures, FINE_BANDS, FINE_ROWS)
-                node = np.repeat(part.column("node").to_numpy(), FINE_BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.repeat(counts, FINE_BANDS)), pa.array(found.ravel())], names=["node", "n", "bucket"])
+                node, comp = (np.repeat(part.column(c).to_numpy(), FINE_BANDS) for c in ("node", "comp"))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (found.ravel(), node, np.repeat(counts, FINE_BANDS), comp)], names=["bucket", "node", "n", "comp"])
 
-    return map_arrow(sets.join(nodes.select("node"), "node", "left_semi").select("node", "items"), run, "node bigint, n bigint, bucket bigint")
+    return map_arrow(sets.join(nodes, "node").select("node", "comp", "items"), run, "bucket bigint, node bigint, n bigint, comp bigint")
 
 
 def relabelled(comp: DataFrame, links: DataFrame, rows: int) -> DataFrame:
@@ -381,14 +381,13 @@ def classes_of(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows:
 
         tested = written(members.filter((F.col("node") != F.col("hub")) & near("n", "hub_n", least)).select("node", "hub").distinct(), "pairs", near_rows)
         comp = relabelled(wanted.select("node", F.col("node").alias("comp")), written(verified(tested, sketches, sets, least), "links", tested.count(), 2_000), near_rows)
-        rest = members.filter("size > 2").select("bucket", "node", "n")
-        open_rows = still_open(rest, comp, total * bands)
-        large = written(open_rows.filter(F.col("rows") > LARGE).select("node", "n").distinct(), "large-bucket-nodes", near_rows)
+        rest = members.filter("size > 2").select("bucket", "node", "n").join(comp, "node").select("bucket", "node", "n", "comp")
+        open_rows = still_open(rest, total * bands)
+        large = written(open_rows.filter(F.col("rows") > LARGE).select("node", "comp").distinct(), "large-bucket-nodes", near_rows)
         if not large.isEmpty():
             some = large.count()
-            fine = bucketed(written(refined(sets, large), "fine-bands", some, 500), some * FINE_BANDS)
-            rest = open_rows.filter(F.col("rows") <= LARGE).select("bucket", "node", "n").unionByName(fine.select("bucket", "node", "n"))
-            open_rows = still_open(rest, comp, total * bands)
+            fine = still_open(written(refined(sets, large), "fine-bands", some, 500), some * FINE_BANDS)
+            open_rows = open_rows.filter(F.col("rows") <= LARGE).unionByName(fine)
         if not open_rows.isEmpty():
             comp = relabelled(comp, written(within(open_rows, sketches, sets, least), "links", open_rows.count(), 2_000), near_rows)
         final = nodes.join(comp, "node", "left").select("key", F.coalesce("comp", "node").alias("class_id"), "copies")
@@ -417,13 +416,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return out
 
 
-def still_open(rest: DataFrame, comp: DataFrame, total: int) -> DataFrame:
-    """Rows of buckets that hold several components: (bucket, node, n, comp, major, minor, minor_items, items, rows).
+def still_open(labelled: DataFrame, total: int) -> DataFrame:
+    """Of rows (bucket, node, n, comp), those of buckets that hold several components: (bucket, node, n, comp, major,
+    minor, minor_items, items, rows).
 
     ``major`` is the bucket's largest component, ``minor`` the number of its rows of other components; items are the
     occurrences of its rows.
     """
-    labelled = rest.join(comp, "node").select("bucket", "node", "n", "comp")
     sizes = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("items"))
     top = sizes.groupBy("bucket").agg(F.max(F.struct("c", "comp", "items")).alias("most"), F.count("*").alias("k"), F.sum("c").alias("rows"), F.sum("items").alias("items")).filter("k > 1")
     minor = [(F.col("rows") - F.col("most.c")).alias("minor"), (F.col("items") - F.col("most.items")).alias("minor_items")]
