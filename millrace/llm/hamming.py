@@ -7,9 +7,11 @@ to radius r and the others to r - 1, every code within distance SEGMENTS * r + j
 ends when the k-th verified distance is at most that. Results are exact.
 
 At scale: equal codes are one code, with its k smallest ids, by an aggregation before anything else, so a vector that
-many rows share costs one code. Distinct codes are dealt into index blocks of bounded size (``BLOCK_CODES``); distinct
-query codes, in blocks of bounded size (``QUERY_CODES``), meet every index block; each pair of blocks gives k
-candidates a query, of which an aggregation keeps the k nearest. No pair of rows is made beyond that.
+many rows share costs one code. Distinct codes are dealt into index blocks of bounded size (``BLOCK_CODES``, and
+fewer where that would leave cores idle); distinct query codes, ``QUERY_CODES`` at a time, meet every index block in
+one pass over the index; each pair of blocks gives k candidates a query, of which an aggregation keeps the k nearest.
+No pair of rows is made beyond that. A task holds one block, its index and a small part of its results. The query ids
+of a code, which may be many, are looked up at the end.
 
 Order: distance, then id. Defined cases: a null embedding, or one that is empty or has a null in it, has no code: it
 is neither found nor a query; NaN counts as not above 0; vectors of different lengths are apart from each other (only
@@ -27,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read_table, written
+from .common import lookup, map_arrow, read_table, scratch, written
 
 K, SEGMENTS, QUERY_EACH = 10, 4, 50
-BLOCK_CODES, QUERY_CODES = 1 << 18, 4096
+BLOCK_CODES, LEAST_BLOCK, QUERY_CODES = 1 << 20, 1 << 13, 1 << 18
+#: Queries whose results a task holds at a time.
+ANSWERS = 2048
 
 
 @lru_cache(maxsize=128)
@@ -125,26 +129,30 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     coded = rows.filter("id is not null").select(F.col("id").cast("bigint").alias("id"), code_of("embedding").alias("code")).filter("code is not null")
     # The k smallest ids of a code: the smallest of each of many buckets of ids come first, so no list grows with a code's rows.
     distinct = coded.groupBy("code", "id").count().select("code", "id")
-    codes = smallest(distinct, "code", "id", k)
-    codes = written(codes.withColumn("bits", F.length("code")), "codes")
-    asked = queries.filter("id is not null").select(F.col("id").cast("bigint").alias("query_id"), code_of("embedding").alias("code")).filter("code is not null")
-    asked = written(asked.distinct(), "queries")
-    query_codes = written(asked.select("code").distinct(), "query-codes")
-    n_codes, n_queries = codes.count(), query_codes.count()
-    blocks, slices = max(1, -(-n_codes // BLOCK_CODES)), max(1, -(-n_queries // QUERY_CODES))
-    dealt = codes.repartition(blocks, F.xxhash64("code"))
-    parts = []
-    for s in range(slices):
-        some = query_codes.filter(F.pmod(F.xxhash64("code"), F.lit(slices)) == s).collect()
-        by_length: dict[int, list[str]] = {}
-        for r in some:
-            by_length.setdefault(len(r["code"]), []).append(r["code"])
-        parts.append(map_arrow(dealt, block_search(spark.sparkContext.broadcast(by_length), k), "code string, id bigint, distance int"))
-    met = parts[0]
-    for part in parts[1:]:
-        met = met.unionByName(part)
-    best = met.groupBy("code").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "id"))), 1, k).alias("best"))
-    return asked.join(best, "code").select("query_id", F.posexplode("best").alias("rank", "hit")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("hit.id").alias("id"), F.col("hit.distance").alias("distance"))
+    with scratch() as kept:
+        codes = written(smallest(distinct, "code", "id", k).withColumn("bits", F.length("code")), "codes")
+        asked = queries.filter("id is not null").select(F.col("id").cast("bigint").alias("query_id"), code_of("embedding").alias("code")).filter("code is not null")
+        asked = written(asked.distinct(), "queries")
+        query_codes = written(asked.groupBy("code").agg(F.count("*").alias("asked")), "query-codes")
+        n_codes, n_queries = codes.count(), query_codes.count()
+        blocks = max(1, -(-n_codes // BLOCK_CODES), min(spark.sparkContext.defaultParallelism, -(-n_codes // LEAST_BLOCK)))
+        slices = max(1, -(-n_queries // QUERY_CODES))
+        dealt = codes.repartition(blocks, F.xxhash64("code"))
+        parts = []
+        for s in range(slices):
+            some = query_codes.filter(F.pmod(F.xxhash64("code"), F.lit(slices)) == s).select("code").collect()
+            by_length: dict[int, list[str]] = {}
+            for r in some:
+                by_length.setdefault(len(r["code"]), []).append(r["code"])
+            parts.append(map_arrow(dealt, block_search(spark.sparkContext.broadcast(by_length), k), "code string, id bigint, distance int"))
+        met = parts[0]
+        for part in parts[1:]:
+            met = met.unionByName(part)
+        best = met.groupBy("code").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "id"))), 1, k).alias("best"))
+        best = written(best.join(query_codes, "code"), "nearest")
+        kept += [asked, best]
+    found = lookup(asked, best, "code", "asked", max(1, asked.count())).select("query_id", F.posexplode("best").alias("rank", "hit"))
+    return found.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("hit.id").alias("id"), F.col("hit.distance").alias("distance"))
 
 
 def smallest(rows: DataFrame, key: str, value: str, k: int) -> DataFrame:
@@ -170,16 +178,18 @@ def block_search(shared, k: int):
             ids = part.column("ids").combine_chunks()
             offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
             weights = np.diff(offsets)
-            out_code, out_id, out_distance = [], [], []
-            for text, query in zip(queries, packed_codes(queries)):
-                where, distance = index.nearest(query, weights, k)
-                got = np.concatenate([flat[offsets[w] : offsets[w + 1]] for w in where.tolist()]) if len(where) else np.zeros(0, np.int64)
-                far = np.repeat(distance, weights[where])
-                order = np.lexsort((got, far))[:k]
-                out_code += [text] * len(order)
-                out_id.append(got[order])
-                out_distance.append(far[order])
-            yield pa.RecordBatch.from_arrays([pa.array(out_code, pa.string()), pa.array(np.concatenate(out_id), pa.int64()), pa.array(np.concatenate(out_distance).astype(np.int32))], names=["code", "id", "distance"])
+            for first in range(0, len(queries), ANSWERS):
+                some = queries[first : first + ANSWERS]
+                out_code, out_id, out_distance = [], [], []
+                for text, query in zip(some, packed_codes(some)):
+                    where, distance = index.nearest(query, weights, k)
+                    got = np.concatenate([flat[offsets[w] : offsets[w + 1]] for w in where.tolist()]) if len(where) else np.zeros(0, np.int64)
+                    far = np.repeat(distance, weights[where])
+                    order = np.lexsort((got, far))[:k]
+                    out_code += [text] * len(order)
+                    out_id.append(got[order])
+                    out_distance.append(far[order])
+                yield pa.RecordBatch.from_arrays([pa.array(out_code, pa.string()), pa.array(np.concatenate(out_id), pa.int64()), pa.array(np.concatenate(out_distance).astype(np.int32))], names=["code", "id", "distance"])
 
     return run
 
