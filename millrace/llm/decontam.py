@@ -8,15 +8,18 @@ the bin keeps its least hash. Small classes have more bins, as they have fewer c
 that agree on any bin make a candidate; the document's whole shingle set then decides. So a document is read once, in
 its own task, without a shuffle, and an item that is spread over several blocks still counts as a whole.
 
-Items come in groups of bounded size (``ITEMS_AT_ONCE`` items, ``BYTES_AT_ONCE`` bytes of shingles on average); a
-group is sent to the tasks, and the documents are read once for each group. All items are searched.
+Items with equal shingles are one row with their ids beside; the ids of a much repeated item are dealt to several rows
+of about ``IDS_A_ROW``. Rows come in groups of bounded size (``ITEMS_AT_ONCE`` rows, ``BYTES_AT_ONCE`` bytes of shingles
+and ids on average); a group is sent to the tasks, and the documents are read once for each group. All items are
+searched.
 
-Chance of a miss: a shingle is its bin's least with a probability of at least 0.63 (1 - 1/512 for items of one
-shingle); an item of n shingles is missed only if none of its 0.8 n or more shared shingles is.
+Chance of a miss: items of one shingle are looked up among all shingles of a document, so none is missed. Otherwise a
+shingle is its bin's least with a probability of at least 0.63, and an item of n shingles is missed only if none of
+its 0.8 n or more shared shingles is.
 
 Defined cases: a null or wordless text, of an item or a document, matches nothing; a text of one to four words has one
-shingle, of all its words, and matches only another such text; a null id stays null; repeated rows give repeated rows;
-empty tables give no rows; further columns are ignored.
+shingle, of all its words, and matches only another such text; a null id stays null; repeated rows give repeated rows,
+also where ids are equal and texts are not; empty tables give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read_table, written
+from .common import map_arrow, read_table, scratch, written
 from .shingles import shingles
 from .textcore import packed, text_slices, texts_of
 
 LEAST = 0.8
-ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 64 << 20
+ITEMS_AT_ONCE, BYTES_AT_ONCE, IDS_A_ROW = 20_000, 64 << 20, 1000
 FILTER_BITS = 22
 
 
@@ -72,9 +75,10 @@ def item_shingles(items: DataFrame) -> DataFrame:
 
 
 class Index:
-    """Some items' shingles, and for each size class the sketches' values in order with the items that have them."""
+    """Some items' ids and shingles, and for each size class the sketches' values in order with the items that have
+    them."""
 
-    def __init__(self, rows: list[tuple[int | None, bytes]]):
+    def __init__(self, rows: list[tuple[list[int | None], bytes]]):
         self.ids = [i for i, _ in rows]
         self.sets = [np.frombuffer(b, np.uint64) for _, b in rows]
         by_class: dict[int, list[int]] = {}
@@ -102,12 +106,16 @@ class Index:
         of = np.repeat(np.arange(len(counts)), counts)
         place = np.arange(len(of)) - (np.cumsum(counts) - counts)[of]
         for c, value, owner, maybe in self.classes:
-            size, n = block_size(c), bins(c)
-            per_text = (counts + size - 1) // size
-            block = (np.cumsum(per_text) - per_text)[of] + place // size
-            codes, keys = pd.factorize(block * n + bin_of(hashes, n))
-            least = np.full(len(keys), np.iinfo(np.uint64).max, np.uint64)
-            np.minimum.at(least, codes, hashes)
+            if c == 0:  # one shingle: no sketch is needed
+                least, text_at = hashes, of
+            else:
+                size, n = block_size(c), bins(c)
+                per_text = (counts + size - 1) // size
+                block = (np.cumsum(per_text) - per_text)[of] + place // size
+                codes, keys = pd.factorize(block * n + bin_of(hashes, n))
+                least = np.full(len(keys), np.iinfo(np.uint64).max, np.uint64)
+                np.minimum.at(least, codes, hashes)
+                text_at = np.repeat(np.arange(len(counts)), per_text)[keys // n]
             hit = np.flatnonzero(maybe[least & np.uint64((1 << FILTER_BITS) - 1)])
             if not len(hit):
                 continue
@@ -115,8 +123,7 @@ class Index:
             real = hi > lo
             if not real.any():
                 continue
-            text_of = np.repeat(np.arange(len(counts)), per_text)[(keys[hit[real]] // n)]
-            for t, a, b in zip(text_of.tolist(), lo[real].tolist(), hi[real].tolist()):
+            for t, a, b in zip(text_at[hit[real]].tolist(), lo[real].tolist(), hi[real].tolist()):
                 found.update((t, k) for k in owner[a:b].tolist())
         return found
 
@@ -142,13 +149,20 @@ class Index:
 def index_groups(items: DataFrame):
     """The items as broadcast Index objects of bounded size, one after the other."""
     spark = items.sparkSession
-    table = written(item_shingles(items), "benchmark-shingles")
-    size = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("shingles")), F.lit(0)).alias("bytes")).first()
+    with scratch() as kept:
+        each = written(item_shingles(items), "benchmark-shingles")
+        spread = F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-each.count() // IDS_A_ROW))))
+        alike = each.groupBy("shingles", spread.alias("part")).agg(F.collect_list(F.struct("item_id")).alias("ids"))
+        table = written(alike.select("shingles", "part", F.col("ids.item_id").alias("ids")), "benchmark-items")
+        kept.append(table)
+    size = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("shingles") + 8 * F.size("ids")), F.lit(0)).alias("bytes")).first()
     groups = max(1, math.ceil(size["n"] / ITEMS_AT_ONCE), math.ceil(size["bytes"] / BYTES_AT_ONCE))
+    order = lambda i: (i is None, i or 0)
     for g in range(groups):
-        rows = table.filter(F.pmod(F.xxhash64("shingles"), F.lit(groups)) == g).collect()
+        rows = table.filter(F.pmod(F.xxhash64("shingles", "part"), F.lit(groups)) == g).collect()
         if rows:
-            yield spark.sparkContext.broadcast(Index(sorted(((r["item_id"], bytes(r["shingles"])) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))))
+            listed = [(sorted(r["ids"], key=order), bytes(r["shingles"])) for r in rows]
+            yield spark.sparkContext.broadcast(Index(sorted(listed, key=lambda r: (order(r[0][0]), r[1]))))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
@@ -160,7 +174,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> Dat
         def run(batches):
             for batch in batches:
                 index, ids = shared.value, batch.column("doc_id").to_pylist()
-                rows = [(ids[at + t], index.ids[k], n, len(index.sets[k])) for at, texts in text_slices(batch) for t, k, n in index.matches(texts, least)]
+                rows = [(ids[at + t], item, n, len(index.sets[k])) for at, texts in text_slices(batch) for t, k, n in index.matches(texts, least) for item in index.ids[k]]
                 columns = list(zip(*rows)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "n_shared", "n_item"])
 
@@ -196,18 +210,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-with words as (
-  select 0 as side, doc_id as id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from documents
+with texts as (
+  select 0 as side, doc_id as id, row_number() over () as k, text from documents
   union all
-  select 1, item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') from benchmark
+  select 1, item_id, row_number() over (), text from benchmark
+), words as (
+  select side, id, k, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from texts
 ), starts as (
-  select side, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from words where len(w) > 0
+  select side, id, k, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from words where len(w) > 0
 ), s as (
-  select distinct side, id, array_to_string(w[i:i + 4], ' ') as shingle from starts
+  select distinct side, id, k, array_to_string(w[i:i + 4], ' ') as shingle from starts
 ), n as (
-  select id, count(*) as n_item from s where side = 1 group by id
+  select k, count(*) as n_item from s where side = 1 group by k
 )
 select d.id as doc_id, b.id as item_id, count(*) as n_shared, any_value(n_item) as n_item
-from s b join s d on b.shingle = d.shingle and d.side = 0 join n on n.id = b.id
-where b.side = 1 group by d.id, b.id having count(*) >= 0.8 * any_value(n_item) - 1e-9
+from s b join s d on b.shingle = d.shingle and d.side = 0 join n on n.k = b.k
+where b.side = 1 group by d.k, b.k, d.id, b.id having count(*) >= 0.8 * any_value(n_item) - 1e-9
 """
