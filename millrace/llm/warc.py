@@ -7,7 +7,8 @@ thousandth of all pages; so at most a thousand payloads) are matched by a broadc
 evenly; all others are joined by digest.
 
 The index has a row for each record: file, offset, length, URL, digest. Readers take the index rows of the records
-they want, sort them by place, join neighbouring ranges to larger reads, and parse what they fetched.
+they want, sort them by place, join neighbouring ranges to larger reads, parse what they fetched, and hold each
+record's digest against the index's: a record that isn't the one the index names is an error.
 
 Defined cases: a null html is an empty payload; a null URL is an empty target; a null page_id comes after all others
 as the first of its payload; rows that repeat the smallest page_id of a payload are all responses; an empty table
@@ -159,13 +160,15 @@ def read_archives(index: DataFrame, payloads: bool = True) -> DataFrame:
         kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
         names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
         for batch in batches:
-            by_file: dict[str, list[tuple[int, int]]] = {}
-            for f, o, n in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length"))):
-                by_file.setdefault(f, []).append((o, n))
+            by_file: dict[str, list[tuple[int, int, str]]] = {}
+            for f, *place in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length", "digest"))):
+                by_file.setdefault(f, []).append(tuple(place))
             rows, held = [], 0
             for file, places in by_file.items():
-                for raw in fetch(file, places):
+                for (offset, _, digest), raw in zip(places, fetch(file, [p[:2] for p in places]), strict=True):
                     got = parse(raw)
+                    if got[4] != digest:
+                        raise ValueError(f"{file} at {offset}: the record isn't the one that the index names")
                     rows.append(got if payloads else (*got[:2], None, *got[3:]))
                     held += len(got[2]) if payloads else 64
                     if held >= 4 << 20:
@@ -174,9 +177,9 @@ def read_archives(index: DataFrame, payloads: bool = True) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    places = index.select("file", "offset", "length", F.floor(F.col("offset") / F.lit(64 << 20)).alias("part"))
+    places = index.select("file", "offset", "length", "digest", F.floor(F.col("offset") / F.lit(64 << 20)).alias("part"))
     dealt = places.repartition(wide_enough(index.sparkSession), "file", "part").sortWithinPartitions("file", "offset")
-    return map_arrow(dealt.select("file", "offset", "length"), run, RECORD)
+    return map_arrow(dealt.select("file", "offset", "length", "digest"), run, RECORD)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import warc as W
@@ -69,3 +70,11 @@ def test_a_common_payload_is_dealt_out(spark):
     rows = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), F.col("id"))).alias("html"))
     got = W.with_first(rows).filter("is_revisit")
     assert got.count() == 999 and got.select("first").distinct().collect()[0][0] == 0
+
+
+def test_a_record_that_is_not_the_index_s_is_an_error(spark):
+    index = W.write_archives(spark.createDataFrame(ROWS, SCHEMA), new_dir(spark, "warc-test"))
+    wrong = index.withColumn("digest", F.when(F.col("page_id") == 7, "A" * 32).otherwise(F.col("digest")))
+    assert W.read_archives(wrong.filter("page_id <> 7")).count() == len(ROWS) - 1
+    with pytest.raises(Exception, match="the index names"):
+        W.read_archives(wrong).collect()
