@@ -1,8 +1,9 @@
 """Quality classifier: supervised subword embeddings.
 
 A document's features are its words (between white space, case and punctuation kept), the character n-grams of each
-word, hashed to buckets, and one word bigram: a word that follows itself has a bucket of its own, ``REPEAT``. Each bucket has a learned vector; a document is the mean of its features' vectors; a
-softmax gives the classes. Vectors and output weights are trained by stochastic gradient descent in numpy on a
+word, and each two neighbouring words, all hashed to buckets; and a word that comes again after 1 to ``LAGS`` words has the bucket
+of that distance. Each bucket has a learned vector; a document is the mean of its features' vectors; a softmax gives
+the classes. Vectors and output weights are trained by stochastic gradient descent in numpy on a
 bounded labelled sample (``TRAIN_MOST``); a logistic fit on the same sample calibrates the score.
 
 Scoring is linear in the vectors up to the softmax, so each bucket's vector is multiplied with the output weights
@@ -21,14 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, read_table, worker_resource
-from .textcore import Packed, SpanCache, packed, sums_by_text, text_slices
+from .textcore import Packed, SpanCache, mix, packed, sums_by_text, text_slices
 from .training import calibrated, labelled_sample, remainder, sigmoid
 
-BUCKETS, DIM, GRAMS = 1 << 17, 12, (3, 4, 5)
+BUCKETS, DIM, GRAMS, LAGS = 1 << 17, 12, (3, 4, 5), 8
 TRAIN_MOST, EPOCHS, RATE, SEED = 4000, 6, 0.4, 7
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.5
-#: The bucket of a word that repeats the one before it in its text.
-REPEAT = 0
+_PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 #: White space of any script, as Python has it.
 _SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 
@@ -50,7 +50,7 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         first = at[at + n <= ends[of]] if len(at) else at
         owner.append(of[first])
         hashes.append(pack.span_hash(first, first + n))
-    owners, buckets = np.concatenate(owner), 1 + np.concatenate(hashes) % np.uint64(BUCKETS - 1)
+    owners, buckets = np.concatenate(owner), LAGS + np.concatenate(hashes) % np.uint64(BUCKETS - LAGS)
     order = np.argsort(owners, kind="stable")
     return np.bincount(owners, minlength=len(words)), buckets[order].astype(np.int64)
 
@@ -75,22 +75,31 @@ class Model:
                 continue
             rows = cache.rows(pack, starts, ends)
             counts = pack.counts(starts)
-            again = sums_by_text(repeats(rows, counts), counts)
             margin, n = (sums_by_text(cache.parts[k][2][rows], counts) for k in (0, 1))
-            out.append((margin + again * float(self.weight[REPEAT])) / np.maximum(n + again, 1))
+            buckets, pairs = context_features(cache.hashes[rows], counts)
+            margin = margin + sums_by_text(self.weight[buckets].astype(np.float64), pairs)
+            out.append(margin / np.maximum(n + pairs, 1))
         return sigmoid(self.a * np.concatenate(out) + self.b) if out else np.zeros(0)
 
     def cache(self) -> SpanCache:
         return SpanCache(self.compute)
 
 
-def repeats(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """1 for each word that is the same as the one before it in its text, else 0."""
-    same = np.zeros(len(rows), np.int64)
-    same[1:] = rows[1:] == rows[:-1]
-    firsts = np.cumsum(counts) - counts
-    same[firsts[counts > 0]] = 0
-    return same
+def context_features(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of neighbouring words and of words that come again, text by text; number of each text's), from the
+    words' hashes in order."""
+    if not len(hashes):
+        return np.zeros(0, np.int64), np.zeros(len(counts), np.int64)
+    of = np.repeat(np.arange(len(counts)), counts)
+    inside = of[1:] == of[:-1]
+    found = [LAGS + (mix(hashes[:-1] * _PAIR + hashes[1:])[inside] % np.uint64(BUCKETS - LAGS)).astype(np.int64)]
+    owner = [of[1:][inside]]
+    for lag in range(1, min(LAGS, len(hashes) - 1) + 1):
+        again = (hashes[lag:] == hashes[:-lag]) & (of[lag:] == of[:-lag])
+        owner.append(of[lag:][again])
+        found.append(np.full(len(owner[-1]), lag - 1))
+    owners = np.concatenate(owner)
+    return np.concatenate(found)[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(counts))
 
 
 def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -104,12 +113,12 @@ def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
             continue
         rows, counts = cache.rows(pack, starts, ends), pack.counts(starts)
         n, buckets = cache.gather(0, rows)
-        stops = np.cumsum(sums_by_text(n, counts))
-        a = 0
-        for b, again in zip(stops.tolist(), sums_by_text(repeats(rows, counts), counts).tolist()):
-            seen, times = np.unique(np.append(buckets[a:b], np.full(again, REPEAT)), return_counts=True)
-            out.append((seen, (times / max(1, b - a + again)).astype(np.float32)))
-            a = b
+        pair_buckets, pairs = context_features(cache.hashes[rows], counts)
+        a = c = 0
+        for b, d in zip(np.cumsum(sums_by_text(n, counts)).tolist(), np.cumsum(pairs).tolist()):
+            seen, times = np.unique(np.concatenate([buckets[a:b], pair_buckets[c:d]]), return_counts=True)
+            out.append((seen, (times / max(1, b - a + d - c)).astype(np.float32)))
+            a, c = b, d
         if len(cache.index) > 400_000:
             cache.clear()
     return out
