@@ -39,6 +39,8 @@ TRAIN_MOST, EPOCHS, BATCH, RATE, WORD_DROPOUT, SEED = 8000, 6, 64, 4e-3, 0.3, 11
 #: A word has a vector of its own if at least so many texts of the sample have it; others are known by their characters.
 WORD_TEXTS = 6
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
+#: Whether word vectors start from their words' log-odds instead of at random.
+START_FROM_ODDS = True
 #: Windows scored at a time, and windows whose words are held at a time in training.
 CHUNK, GROUP = 2048, 1 << 13
 
@@ -340,7 +342,8 @@ def train(texts: Iterable[str], labels: np.ndarray, epochs: int = EPOCHS, seed:
 
     p = new_parameters(rng)
     p["word"][np.setdiff1d(np.arange(WORD_BUCKETS), bucket[own > 0])] = 0
-    p["word"][bucket[own > 0], 0] = np.clip(odds[:-1][own > 0], -2, 4) / 2  # where training starts; it goes on from there
+    if START_FROM_ODDS:
+        p["word"][bucket[own > 0], 0] = np.clip(odds[:-1][own > 0], -2, 4) / 2  # where training starts; it goes on from there
     model = Model(p)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     steps = 0
