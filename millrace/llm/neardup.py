@@ -381,8 +381,9 @@ def classes_of(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows:
 
         tested = written(members.filter((F.col("node") != F.col("hub")) & near("n", "hub_n", least)).select("node", "hub").distinct(), "pairs", near_rows)
         comp = relabelled(wanted.select("node", F.col("node").alias("comp")), written(verified(tested, sketches, sets, least), "links", tested.count(), 2_000), near_rows)
-        rest = members.filter("size > 2").select("bucket", "node", "n").join(comp, "node").select("bucket", "node", "n", "comp")
-        open_rows = still_open(rest, total * bands)
+        # Components are joined to nodes, and their bands listed after that. The pair of a bucket of two is done.
+        banded = nodes.select("node", "n", "bands").join(comp, "node").select(F.explode("bands").alias("bucket"), "node", "n", "comp")
+        open_rows = still_open(banded, total * bands, 3)
         large = written(open_rows.filter(F.col("rows") > LARGE).select("node", "comp").distinct(), "large-bucket-nodes", near_rows)
         if not large.isEmpty():
             some = large.count()
@@ -416,15 +417,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return out
 
 
-def still_open(labelled: DataFrame, total: int) -> DataFrame:
-    """Of rows (bucket, node, n, comp), those of buckets that hold several components: (bucket, node, n, comp, major,
-    minor, minor_items, items, rows).
+def still_open(labelled: DataFrame, total: int, least: int = 2) -> DataFrame:
+    """Of rows (bucket, node, n, comp), those of buckets of ``least`` rows that hold several components: (bucket, node,
+    n, comp, major, minor, minor_items, items, rows).
 
     ``major`` is the bucket's largest component, ``minor`` the number of its rows of other components; items are the
     occurrences of its rows.
     """
     sizes = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("items"))
-    top = sizes.groupBy("bucket").agg(F.max(F.struct("c", "comp", "items")).alias("most"), F.count("*").alias("k"), F.sum("c").alias("rows"), F.sum("items").alias("items")).filter("k > 1")
+    top = sizes.groupBy("bucket").agg(F.max(F.struct("c", "comp", "items")).alias("most"), F.count("*").alias("k"), F.sum("c").alias("rows"), F.sum("items").alias("items")).filter((F.col("k") > 1) & (F.col("rows") >= least))
     minor = [(F.col("rows") - F.col("most.c")).alias("minor"), (F.col("items") - F.col("most.items")).alias("minor_items")]
     top = written(top.select("bucket", F.col("most.comp").alias("major"), *minor, "items", "rows", F.col("rows").alias("c")), "open-buckets", total, 200_000)
     return written(lookup(labelled, top, "bucket", "c", total).filter("major is not null"), "open-rows", total, 200_000)
