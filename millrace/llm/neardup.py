@@ -253,8 +253,19 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def blocks(rows: DataFrame) -> DataFrame:
-    """Open rows with (i, j), the pairs of a bucket's blocks that they belong to.
+def beside(rows: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``rows`` with the tables' columns of their node. A node's rows, one for each of its buckets and blocks, are
+    listed first, so that each table is joined once a node."""
+    names = [c for c in rows.columns if c != "node"]
+    listed, more = rows.groupBy("node").agg(F.collect_list(F.struct(*names)).alias("rows")), []
+    for table in tables:
+        more += [c for c in table.columns if c != "node"]
+        listed = listed.join(table, "node")
+    return listed.select("node", F.explode("rows").alias("r"), *more).select("node", "r.*", *more)
+
+
+def blocks(rows: DataFrame, *more: str) -> DataFrame:
+    """Open rows with (i, j), the pairs of a bucket's blocks that they belong to, and the columns ``more``.
 
     A bucket of at most BLOCK rows and BLOCK_ITEMS occurrences is one block. In others, rows of the largest component
     and all other rows have blocks of their own, numbered from 0 down and from 1 up; every block meets each of the
@@ -270,7 +281,7 @@ def blocks(rows: DataFrame) -> DataFrame:
     others = F.when(single, F.array(F.lit(1))).otherwise(others)
     own = F.when(single, F.lit(1)).otherwise(own)
     met = rows.withColumn("own", own).withColumn("other", F.explode(others))
-    return met.select("bucket", "node", "n", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return met.select("bucket", "node", "n", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *more)
 
 
 def within(open_rows: DataFrame, sketches: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -309,8 +320,9 @@ def within(open_rows: DataFrame, sketches: DataFrame, sets: DataFrame, least: fl
 
     keys = ["bucket", "i", "j"]
     columns = "bucket bigint, i int, j int, node bigint, n bigint, comp bigint"
-    some = written(blocks(open_rows).join(sketches, "node").select(*keys, "node", "n", "comp", "sketch").groupBy(*keys).applyInArrow(promising, columns), "promising", open_rows.count(), 2_000)
-    full = some.join(sketches, "node").join(sets, "node").select(*keys, "node", "n", "comp", "sketch", "items")
+    met = blocks(beside(open_rows, sketches), "sketch")
+    some = written(met.groupBy(*keys).applyInArrow(promising, columns), "promising", open_rows.count(), 2_000)
+    full = beside(some, sketches, sets).select(*keys, "node", "n", "comp", "sketch", "items")
     return full.groupBy(*keys).applyInArrow(links, "node bigint, hub bigint").distinct()
 
 
