@@ -69,3 +69,27 @@ def name_scores(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 def ascii_name(name: pd.Series) -> pd.Series:
     """A name's compatibility decomposition without what isn't ASCII, for scripts beyond the fixed table."""
     return name.fillna("").str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
+
+
+@F.pandas_udf(T.DoubleType())
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The share of matching characters of two names, 0 to 1; two empty names are alike."""
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a.fillna(""), b.fillna(""))], dtype=float)
+
+
+# Words that don't tell the names of two sources apart.
+SOURCE_WORDS = (r"\b(whiskey|whisky|bourbon|scotch|single malt|port|tawny)\b", r"\b(year|years|yr|yrs|old)\b", r"[^\w\s]")
+
+
+def source_name(name: Column) -> Column:
+    """A name as sources are compared: without kinds, years and marks, single spaces."""
+    out = F.lower(F.coalesce(name, F.lit("")))
+    for pattern in SOURCE_WORDS:
+        out = F.regexp_replace(out, pattern, "")
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+def source_similarity(expected: Column, extracted: Column) -> Column:
+    """How alike two sources' names are, 0 to 1; without a name on either side 0."""
+    given = F.coalesce((expected != "") & (extracted != ""), F.lit(False))
+    return F.when(given, sequence_ratio(source_name(expected), source_name(extracted))).otherwise(0.0)

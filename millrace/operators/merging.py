@@ -59,6 +59,12 @@ def conflicts(rows: DataFrame, least_confidence: float = 0.0) -> DataFrame:
     return found.filter((F.col("source_count") >= 2) & (F.col("value_count") > 1))
 
 
+def confident_conflicts(rows: DataFrame, least_confidence: float = 0.5) -> DataFrame:
+    """(product_id, field_name) with different values as they are written, of which one is at least so sure."""
+    found = rows.groupBy(*KEY).agg(F.countDistinct("extracted_value").alias("values"), F.max("confidence").alias("top"))
+    return found.filter((F.col("values") > 1) & (F.col("top") >= least_confidence)).select(*KEY)
+
+
 def auto_resolved(rows: DataFrame, gap: float = 0.2) -> DataFrame:
     """Conflicting fields whose best source is ahead of the second by ``gap``: the value it says."""
     ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("confidence"), "source_id")))

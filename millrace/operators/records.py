@@ -68,3 +68,62 @@ def cleaned_up(sources: DataFrame, eligible: Column, limit: int | None = None) -
     due = sources.filter(eligible).filter("raw_content is not null and raw_content <> ''")
     due = due if limit is None else due.orderBy("crawled_at", "source_id").limit(limit)
     return due.withColumn("raw_content", F.lit(None).cast("string"))
+
+
+# Names of categories by whiskey type, and objects whose fields belong to the record itself.
+CATEGORY_NAMES = {
+    "scotch_single_malt": "Single Malt Scotch Whisky", "scotch_blend": "Blended Scotch Whisky", "bourbon": "Bourbon", "tennessee": "Tennessee Whiskey",
+    "rye": "Rye Whiskey", "american_single_malt": "American Single Malt", "irish_single_pot": "Irish Single Pot Still",
+    "irish_single_malt": "Irish Single Malt", "irish_blend": "Blended Irish Whiskey", "japanese": "Japanese Whisky", "canadian": "Canadian Whisky",
+    "indian": "Indian Whisky", "taiwanese": "Taiwanese Whisky", "australian": "Australian Whisky", "world_whiskey": "World Whisky",
+}
+NESTED = ("appearance", "tasting_evolution", "ratings", "production")
+NOTES = {"nose_description": "nose", "palate_description": "palate", "finish_description": "finish"}
+NOTE_LISTS = {"primary_aromas": "nose_aromas", "palate_flavors": "palate_flavors", "finish_flavors": "finish_flavors"}
+
+
+def normalized(data: str) -> dict[str, Column]:
+    """Columns of a record in JSON: names by their aliases, notes from the tasting notes, the category from the whiskey
+    type where none is given; further fields are found at the top or, unless they are there, in a nested object."""
+    at = lambda path: F.nullif(F.get_json_object(data, f"$.{path}"), F.lit(""))
+    kind = at("whiskey_type")
+    named = F.create_map(*(F.lit(x) for pair in CATEGORY_NAMES.items() for x in pair))
+    derived = F.coalesce(F.try_element_at(named, kind), F.initcap(F.replace(kind, F.lit("_"), F.lit(" "))))
+    out = {"name": F.coalesce(at("name"), at("product_name")), "brand": F.coalesce(at("brand"), at("producer")), "category": F.coalesce(at("category"), derived)}
+    out |= {field: F.coalesce(at(field), at(f"tasting_notes.{note}")) for field, note in (NOTES | NOTE_LISTS).items()}
+    return out
+
+
+def nested_field(data: str, field: str) -> Column:
+    """A field of a record in JSON, from the top, else from the first nested object that has it."""
+    return F.coalesce(F.get_json_object(data, f"$.{field}"), *(F.get_json_object(data, f"$.{o}.{field}") for o in NESTED))
+
+
+CASTS = {"string": lambda c: F.nullif(F.trim(c), F.lit("")), "int": safe_int, "float": safe_float, "bool": safe_bool, "date": safe_date, "list": safe_list}
+
+
+def mapped_fields(rows: DataFrame, key: str, data: str, mapping: dict[str, tuple[str, str]]) -> DataFrame:
+    """(key, the mapping's fields): each from its key in a JSON record, by its kind of cast."""
+    return rows.select(key, *(CASTS[kind](F.get_json_object(data, f"$.{source}")).alias(field) for field, (source, kind) in mapping.items()))
+
+
+def cleared(tables: dict[str, DataFrame], order: list[str], dry_run: bool = True) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(the tables afterwards, (table_name, deleted)): all rows of the tables in ``order``, children first, deleted;
+    a dry run leaves the tables as they are."""
+    from functools import reduce
+
+    counts = [tables[t].agg(F.lit(t).alias("table_name"), F.count("*").alias("deleted")) for t in order]
+    after = tables if dry_run else {n: df.limit(0) if n in order else df for n, df in tables.items()}
+    return after, reduce(lambda a, b: a.unionByName(b), counts)
+
+
+def stored_source(sources: DataFrame, crawled: DataFrame) -> DataFrame:
+    """Crawled sources (url, title, raw_content, content_hash, source_type, preprocessed) after an upsert by URL: what
+    was crawled last (by ``crawled_at``) replaces; preprocessed content and its time stay where none is new."""
+    from .monitoring import latest
+
+    new = latest(crawled, "url", [F.desc("crawled_at"), F.desc("raw_content")]).withColumn("content_hash", F.sha2("raw_content", 256))
+    both = sources.alias("o").join(new.alias("n"), "url", "full")
+    hit = F.col("n.raw_content").isNotNull()
+    take = lambda c: F.when(hit, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
+    return both.select("url", *(take(c) for c in ("title", "raw_content", "content_hash", "source_type")), F.coalesce("n.preprocessed", "o.preprocessed").alias("preprocessed"))

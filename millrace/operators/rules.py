@@ -59,6 +59,24 @@ def tracked(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_list("rejected")).alias("rejected"), F.max("steps").alias("steps"))
 
 
+def tracking_merged(old: dict[str, Column], new: dict[str, Column]) -> dict[str, Column]:
+    """A record's source tracking after another run: sources united, rejections appended, provenance by the newer run,
+    the higher number of steps, the newer time."""
+    none = F.array().cast("array<string>")
+    texts = lambda c: F.coalesce(c, none)
+    maps = lambda c: F.coalesce(c, F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(maps(old["provenance"]), lambda k, _: ~F.array_contains(F.map_keys(maps(new["provenance"])), k))
+    return {
+        "sources": F.array_sort(F.array_union(texts(old["sources"]), texts(new["sources"]))), "rejected": F.concat(texts(old["rejected"]), texts(new["rejected"])),
+        "provenance": F.map_concat(kept, maps(new["provenance"])), "steps": F.greatest(F.coalesce(old["steps"], F.lit(0)), F.coalesce(new["steps"], F.lit(0))), "at": new["at"],
+    }
+
+
+def duration_seconds(started: Column, completed: Column, now: Column) -> Column:
+    """Whole seconds of a job, up to now while it runs; null for one that hasn't started."""
+    return F.floor(F.coalesce(completed, now).cast("double") - started.cast("double")).cast("bigint")
+
+
 def within_budget(rows: DataFrame, key: str, order: list[str], cost: str, budget: int) -> DataFrame:
     """Rows that a budget still pays for, in order; refunded rows (``refund``) cost nothing."""
     spent = F.sum(F.when(F.col("refund"), 0).otherwise(F.col(cost))).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -43,6 +43,69 @@ def completeness() -> Column:
     return F.least(total, F.lit(100))
 
 
+def filled(name: str) -> Column:
+    """Whether a text column has more than white space."""
+    return F.coalesce(F.trim(name) != "", F.lit(False))
+
+
+def completeness_service() -> Column:
+    """0 to 100 by the service's rules, which differ: palate needs three flavours, finish counts flavours more, and
+    category, appearance, ratings of taste and fewer points for pictures and awards come in."""
+    text, number, listed = (lambda c, k=k: truthy(F.col(c), k) for k in ("string", "number", "array"))
+    least = lambda c, n: F.coalesce(F.size(c) >= n, F.lit(False))
+    positive = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
+    looks = filled("color_description") | positive("color_intensity") | filled("clarity") | filled("viscosity")
+    taste = positive("flavor_intensity") | positive("complexity") | positive("balance")
+    total = (
+        points((text("name"), 10), (number("brand_id"), 5), (text("product_type"), 5), (number("abv"), 5), (filled("category"), 3), (filled("description"), 5))
+        + points((least("palate_flavors", 3), 10), (filled("palate_description") | filled("initial_taste"), 5), (filled("mid_palate_evolution"), 3), (filled("mouthfeel"), 2), most=20)
+        + points((filled("nose_description"), 5), (least("primary_aromas", 2), 5), most=10)
+        + points((least("finish_flavors", 2), 5), (filled("finish_description") | filled("final_notes"), 3), (positive("finish_length"), 2), most=10)
+        + points((looks, 3), (taste, 5), (number("best_price"), 5), (listed("images"), 2), (listed("awards"), 2))
+        + points((F.col("source_count") >= 2, 5), (F.col("source_count") >= 3, 5))
+    )
+    return F.least(total, F.lit(100))
+
+
+def completeness_pipeline() -> Column:
+    """0 to 100 by the pipeline's rules for what was extracted: as the record's, but the brand is a text, the price may
+    be either of two, and an unknown number of sources is one."""
+    text, number, listed = (lambda c, k=k: truthy(F.col(c), k) for k in ("string", "number", "array"))
+    two = lambda c: F.coalesce(F.size(c) >= 2, F.lit(False))
+    sources = F.coalesce("source_count", F.lit(1))
+    total = (
+        points((text("name"), 10), (text("brand"), 5), (text("product_type"), 5), (number("abv"), 5), (text("description"), 5))
+        + points((two("palate_flavors"), 10), (text("palate_description") | text("initial_taste"), 5), (text("mid_palate_evolution"), 3), (text("mouthfeel"), 2), most=20)
+        + points((text("nose_description"), 5), (two("primary_aromas"), 5), most=10)
+        + points((text("finish_description") | text("final_notes"), 5), (two("finish_flavors"), 3), (number("finish_length"), 2), most=10)
+        + points((number("best_price") | number("price"), 5), (listed("images"), 5), (listed("ratings"), 5), (listed("awards"), 5))
+        + points((sources >= 2, 5), (sources >= 3, 5))
+    )
+    return F.least(total, F.lit(100))
+
+
+def has_palate_service() -> Column:
+    """The service's rule: two flavours, or a description that isn't blank."""
+    return F.coalesce(F.size("palate_flavors") >= 2, F.lit(False)) | filled("palate_description") | filled("initial_taste")
+
+
+# Weighted fields in the order in which missing ones are told.
+WEIGHTED_FIELDS = {
+    "name": 10, "brand": 10, "product_type": 8, "abv": 6, "age_statement": 5, "region": 5, "category": 5, "primary_cask": 4, "finishing_cask": 3,
+    "nose_description": 4, "palate_flavors": 4, "finish_length": 3, "primary_aromas": 3, "color_description": 2, "maturation_notes": 2,
+    "food_pairings": 2, "serving_recommendation": 2, "best_price": 7, "award_count": 5, "rating_count": 4,
+}
+
+
+def missing_weighted(present: dict[str, Column]) -> Column:
+    """(field, weight) of the weighted fields that aren't filled, in order; fields without a column are missing.
+
+    Counters have to be over 0; other numbers are filled if they are there, 0 included.
+    """
+    entry = lambda f: F.struct(F.lit(f).alias("field"), F.lit(WEIGHTED_FIELDS[f]).alias("weight"))
+    return F.array_compact(F.array(*(F.when(~F.coalesce(present[f], F.lit(False)) if f in present else F.lit(True), entry(f)) for f in WEIGHTED_FIELDS)))
+
+
 def has_palate() -> Column:
     """Any palate data; one flavour is enough for the status, though not for points."""
     return truthy(F.col("palate_flavors"), "array") | truthy(F.col("palate_description"), "string") | truthy(F.col("initial_taste"), "string")

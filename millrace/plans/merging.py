@@ -39,6 +39,12 @@ def conflicts(spark, folder):
     return M.conflicts(field_sources(spark, folder))
 
 
+@query("confident_conflicts", f"with {FIELD_SOURCES_SQL} select product_id, field_name from f group by 1, 2 having count(distinct extracted_value) > 1 and max(confidence) >= 0.95")
+def confident_conflicts(spark, folder):
+    """Fields of which sources say different things, one of them at least surely."""
+    return M.confident_conflicts(field_sources(spark, folder), 0.95)
+
+
 @query("auto_resolve", f"""with {FIELD_SOURCES_SQL}, c as ({CONFLICTS}), r as (select *, row_number() over (partition by product_id, field_name order by confidence desc, source_id) as k from f),
 t as (select product_id, field_name, max(confidence) filter (where k = 1) as a, max(confidence) filter (where k = 2) as b, max(extracted_value) filter (where k = 1) as v from r group by 1, 2)
 select product_id, field_name, v as resolved_value from c join t using (product_id, field_name) where round(a - b, 6) >= 0.03""")

@@ -100,8 +100,39 @@ def domain_filter(spark, folder):
     return table(spark, folder, "pages").select("page_id", F.exists(F.array(F.lit("example.org")), lambda d: F.contains(host, d)).alias("trusted"), W.allowed(F.col("url"), ["/en/", "(", r"\d{3}"]).alias("wanted"))
 
 
-@query("field_schema", "select p_type as product_type, array_to_string(list(distinct p_brand order by p_brand), ',') as fields from part where p_size > 10 group by 1")
-def field_schema(spark, folder):
-    """A registry of active fields, to one ordered list for each type."""
-    active = table(spark, folder, "part").filter("p_size > 10")
-    return active.groupBy(F.col("p_type").alias("product_type")).agg(F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("fields"))
+@query("normalize_record", """with a as (select p_partkey as k, case when p_partkey % 2 = 0 then p_name end as name, p_type as product_name, case when p_partkey % 3 = 0 then p_brand end as brand, case when p_partkey % 5 > 0 then 'House' end as producer, case p_partkey % 4 when 0 then 'bourbon' when 1 then 'single_cask' end as kind, case when p_partkey % 7 = 0 then 'Own' end as category, case when p_partkey % 3 = 1 then p_size end as top_size from part)
+select k, coalesce(name, product_name) as name, coalesce(brand, producer) as brand, coalesce(category, case kind when 'bourbon' then 'Bourbon' when 'single_cask' then 'Single Cask' end) as category, case when k % 2 = 0 then 'own nose' else 'note' end as nose_description, coalesce(top_size, 7)::varchar as color_intensity from a""")
+def normalize_record(spark, folder):
+    """Records in JSON by their aliases, nested objects and tasting notes."""
+    k = F.col("p_partkey")
+    record = F.struct(
+        F.when(k % 2 == 0, F.col("p_name")).alias("name"), F.col("p_type").alias("product_name"), F.when(k % 3 == 0, F.col("p_brand")).alias("brand"), F.when(k % 5 > 0, "House").alias("producer"),
+        F.when(k % 4 == 0, "bourbon").when(k % 4 == 1, "single_cask").alias("whiskey_type"), F.when(k % 7 == 0, "Own").otherwise("").alias("category"), F.when(k % 2 == 0, "own nose").alias("nose_description"),
+        F.struct(F.lit("note").alias("nose")).alias("tasting_notes"), F.struct(F.lit(7).alias("color_intensity")).alias("appearance"), F.when(k % 3 == 1, F.col("p_size")).alias("color_intensity"),
+    )
+    rows = table(spark, folder, "part").select(k.alias("k"), F.to_json(record).alias("data"))
+    fields = R.normalized("data")
+    return rows.select("k", *(fields[f].alias(f) for f in ("name", "brand", "category", "nose_description")), R.nested_field("data", "color_intensity").alias("color_intensity"))
+
+
+@query("field_mapping", "select p_partkey, nullif(trim(case when p_partkey % 4 = 0 then ' ' else p_name end), '') as title, p_size::int as size, (p_retailprice)::double as price, case p_partkey % 3 when 0 then true when 1 then false end as peated, case when p_partkey % 2 = 0 then 2 else 0 end::int as tags from part")
+def field_mapping(spark, folder):
+    """A JSON record's fields under their own names and types, as a mapping table says."""
+    k = F.col("p_partkey")
+    record = F.struct(
+        F.when(k % 4 == 0, " ").otherwise(F.col("p_name")).alias("name"), F.concat(F.col("p_size").cast("string"), F.lit(" ml")).alias("vol"), F.concat(F.col("p_retailprice").cast("string"), F.lit("%")).alias("cost"),
+        F.when(k % 3 == 0, "Yes").when(k % 3 == 1, "no").otherwise("?").alias("smoke"), F.when(k % 2 == 0, "a, b,").otherwise("").alias("labels"),
+    )
+    rows = table(spark, folder, "part").select("p_partkey", F.to_json(record).alias("data"))
+    mapping = {"title": ("name", "string"), "size": ("vol", "int"), "price": ("cost", "float"), "peated": ("smoke", "bool"), "tags": ("labels", "list")}
+    return R.mapped_fields(rows, "p_partkey", "data", mapping).withColumn("tags", F.size("tags"))
+
+
+@query("store_sources", """with o as (select url, min(page_id) as p from pages where page_id % 2 = 0 group by 1), n as (select url, max(page_id) as p from pages where page_id % 3 = 0 group by 1)
+select coalesce(n.url, o.url) as url, case when n.p is not null then 'new ' || n.p else 'old ' || o.p end as title, case when n.p is not null then sha256('content ' || n.p) else 'hash' end as content_hash, case when n.p % 2 = 1 then 'pre' when o.p is not null then 'old pre' end as preprocessed from o full join n on n.url = o.url""")
+def store_sources(spark, folder):
+    """Crawled pages stored by URL: new ones added, known ones replaced but for what the crawl didn't make."""
+    pages = table(spark, folder, "pages")
+    old = pages.filter("page_id % 2 = 0").groupBy("url").agg(F.min("page_id").alias("p")).select("url", F.concat(F.lit("old "), "p").alias("title"), F.lit("x").alias("raw_content"), F.lit("hash").alias("content_hash"), F.lit("page").alias("source_type"), F.lit("old pre").alias("preprocessed"))
+    new = pages.filter("page_id % 3 = 0").select("url", F.concat(F.lit("new "), "page_id").alias("title"), F.concat(F.lit("content "), "page_id").alias("raw_content"), F.lit("page").alias("source_type"), F.when(F.col("page_id") % 2 == 1, "pre").alias("preprocessed"), F.col("page_id").alias("crawled_at"))
+    return R.stored_source(old, new).select("url", "title", "content_hash", "preprocessed")

@@ -36,11 +36,6 @@ def enum_validate(spark, folder):
     return listed(spark, VALUES).select("k", R.enum_value(F.col("s"), ("gold", "silver", "bronze")).alias("e")).select("k", "e.value", "e.warning")
 
 
-@query("type_map", "select p_partkey, case lower(trim(p_brand)) when 'brand#11' then 'scotch' when 'brand#12' then 'bourbon' else 'world_whiskey' end as kind from part")
-def type_map(spark, folder):
-    return table(spark, folder, "part").select("p_partkey", R.mapped(F.col("p_brand"), {"brand#11": "scotch", "brand#12": "bourbon"}, "world_whiskey").alias("kind"))
-
-
 @query("job_rates", "select o_custkey, count(*) filter (where o_orderstatus = 'O') as new, count(*) filter (where o_orderstatus = 'F') as failed, round(case when count(*) filter (where o_orderstatus in ('O', 'F')) > 0 then count(*) filter (where o_orderstatus = 'O') / count(*) filter (where o_orderstatus in ('O', 'F')) else 0 end, 6)::double as success_rate from orders group by 1")
 def job_rates(spark, folder):
     found = table(spark, folder, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "O").alias("new"), F.count_if(F.col("o_orderstatus") == "F").alias("failed"))
@@ -60,13 +55,6 @@ def unique_slugs(spark, folder):
     return R.unique_slugs(slugs, "slug", ["p_partkey"]).select("p_partkey", "unique_slug")
 
 
-@query("append_if_new", "select p_partkey, case when p_partkey % 3 in (0, 1) then 2 else 3 end as entries from part")
-def append_if_new(spark, folder):
-    entry = lambda k: F.struct(k.cast("bigint").alias("url"), F.lit("x").alias("note"))
-    entries = F.array(entry(F.lit(0)), entry(F.lit(1)))
-    return table(spark, folder, "part").select("p_partkey", F.size(R.appended(entries, entry(F.col("p_partkey") % 3), "url")).alias("entries"))
-
-
 @query("source_tracking", "select l_orderkey, array_to_string(list(distinct l_suppkey order by l_suppkey), ',') as sources, array_to_string(list(l_partkey order by l_partkey) filter (where l_returnflag = 'R'), ',') as rejected, max(l_linenumber)::int as steps from lineitem group by 1")
 def source_tracking(spark, folder):
     rows = table(spark, folder, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("source"), F.when(F.col("l_returnflag") == "R", F.col("l_partkey")).alias("rejected"), F.col("l_linenumber").alias("steps"))
@@ -74,6 +62,26 @@ def source_tracking(spark, folder):
     return found.select("l_orderkey", F.array_join("sources", ",").alias("sources"), F.when(F.size("rejected") > 0, F.array_join("rejected", ",")).alias("rejected"), F.col("steps").cast("int").alias("steps"))
 
 
+@query("tracking_merge", """with l as (select o_orderkey as k, o_custkey % 5 as a, o_custkey % 7 as b, o_orderkey % 4 as s, o_orderkey % 6 as t from orders)
+select k, array_to_string(list_sort(list_distinct(['s' || a, 's' || b, 'x'])), ',') as sources, case when s = 0 then 'r' || b else 'r' || a || ',r' || b end as rejected, 'name=new' || b || case when a <> b then ';' || 'f' || a || '=old' else '' end || ';f' || b || '=n' as provenance, greatest(case when s = 0 then 0 else s end, t)::int as steps from l""")
+def tracking_merge(spark, folder):
+    """What a second run's source tracking does to a record's."""
+    k = table(spark, folder, "orders").select(F.col("o_orderkey").alias("k"), *(x.cast("string").alias(n) for n, x in (("a", F.col("o_custkey") % 5), ("b", F.col("o_custkey") % 7))), (F.col("o_orderkey") % 4).alias("s"), (F.col("o_orderkey") % 6).alias("t"))
+    tag = lambda p, c: F.concat(F.lit(p), F.col(c))
+    old = {"sources": F.array(tag("s", "a"), F.lit("x")), "rejected": F.when(F.col("s") != 0, F.array(tag("r", "a"))), "provenance": F.create_map(F.lit("name"), F.lit("old"), tag("f", "a"), F.lit("old")), "steps": F.when(F.col("s") != 0, F.col("s")), "at": F.lit(1)}
+    new = {"sources": F.array(tag("s", "b"), F.lit("x")), "rejected": F.array(tag("r", "b")), "provenance": F.create_map(F.lit("name"), tag("new", "b"), tag("f", "b"), F.lit("n")), "steps": F.col("t"), "at": F.lit(2)}
+    m = R.tracking_merged(old, new)
+    of = lambda key: F.concat(key, F.lit("="), F.try_element_at(m["provenance"], key))
+    parts = F.concat_ws(";", of(F.lit("name")), F.when(F.col("a") != F.col("b"), of(tag("f", "a"))), of(tag("f", "b")))
+    return k.select("k", F.array_join(m["sources"], ",").alias("sources"), F.array_join(m["rejected"], ",").alias("rejected"), parts.alias("provenance"), m["steps"].cast("int").alias("steps"))
+
+
+@query("job_durations", "select o_orderkey, case when o_orderkey % 3 > 0 then (o_orderkey % 1000) * 7 else epoch(timestamp '1999-01-01')::bigint - epoch(o_orderdate)::bigint end as seconds from orders")
+def job_durations(spark, folder):
+    done = F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("o_orderkey") % 1000 * 7).cast("decimal(18,6)")))
+    return table(spark, folder, "orders").select("o_orderkey", R.duration_seconds(F.col("o_orderdate"), done, F.lit("1999-01-01").cast("timestamp")).alias("seconds"))
+
+
 @query("budget", "with s as (select l_orderkey, l_linenumber, l_partkey, sum(case when l_returnflag = 'R' then 0 else l_quantity::bigint end) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity rows between unbounded preceding and current row)::bigint as spent from lineitem) select l_orderkey, count(*) as paid, max(spent)::bigint as spent from s where spent <= 60 group by 1")
 def budget(spark, folder):
     """Searches that a budget pays for, refunded ones at no cost."""

@@ -32,6 +32,16 @@ RECORD = {
     "ratings": "split(case when p_partkey % 6 = 1 then 'r' end, ',')",
     "awards": "split(case when p_partkey % 6 = 2 then 'w' end, ',')",
     "source_count": "p_partkey % 4",
+    "category": "case p_partkey % 3 when 0 then ' ' when 1 then p_brand end",
+    "color_description": "case when p_partkey % 9 = 0 then 'amber' end",
+    "color_intensity": "p_size % 4",
+    "clarity": "case when p_partkey % 8 = 0 then ' ' end",
+    "viscosity": "case when p_partkey % 13 = 0 then 'thick' end",
+    "flavor_intensity": "case when p_size % 5 = 1 then p_size end",
+    "complexity": "p_size % 2",
+    "balance": "cast(null as int)",
+    "brand": "case when p_partkey % 4 > 0 then p_brand else '' end",
+    "price": "case when p_partkey % 20 = 0 then p_retailprice end",
     "current_status": "case p_partkey % 40 when 0 then 'rejected' when 1 then 'merged' else 'partial' end",
 }
 RECORD_SQL = "r as (select " + ", ".join(f"{e.replace('split(', 'string_split(')} as {c}" for c, e in RECORD.items()) + " from part)"
@@ -53,6 +63,47 @@ SCORE_SQL = f"""s as (select *, least(100, {_P((_T('name'), 10), (_N('brand_id')
 PALATE_SQL = f"({_L('palate_flavors')} or {_T('palate_description')} or {_T('initial_taste')})"
 
 
+_F = lambda c: f"coalesce(trim({c}) <> '', false)"
+_G = lambda c: f"coalesce({c} > 0, false)"
+
+
+@query("completeness_service", f"""with {RECORD_SQL}, s as (select *, least(100, {_P((_T('name'), 10), (_N('brand_id'), 5), (_T('product_type'), 5), (_N('abv'), 5), (_F('category'), 3), (_F('description'), 5))}
+ + {_P((_L('palate_flavors', 3), 10), (_F('palate_description') + ' or ' + _F('initial_taste'), 5), (_F('mid_palate_evolution'), 3), (_F('mouthfeel'), 2))} + {_P((_F('nose_description'), 5), (_L('primary_aromas', 2), 5))}
+ + {_P((_L('finish_flavors', 2), 5), (_F('finish_description') + ' or ' + _F('final_notes'), 3), (_G('finish_length'), 2))} + {_P((_F('color_description') + ' or ' + _G('color_intensity') + ' or ' + _F('clarity') + ' or ' + _F('viscosity'), 3), (_G('flavor_intensity') + ' or ' + _G('complexity'), 5))}
+ + {_P((_N('best_price'), 5), (_L('images'), 2), (_L('awards'), 2), ('source_count >= 2', 5), ('source_count >= 3', 5))}) as score, {_L('palate_flavors', 2)} or {_F('palate_description')} or {_F('initial_taste')} as palate from r)
+select product_id, score, case when current_status in ('rejected', 'merged') then current_status when not palate then case when score >= 30 then 'partial' else 'incomplete' end when score >= 80 and source_count >= 2 then 'verified' when score >= 60 then 'complete' when score >= 30 then 'partial' else 'incomplete' end as status from s""")
+def completeness_service(spark, folder):
+    """The service's score and status."""
+    rows = record(spark, folder).withColumn("score", S.completeness_service())
+    return rows.select("product_id", "score", S.status(F.col("score"), S.has_palate_service(), F.col("current_status"), F.col("source_count") >= 2).alias("status"))
+
+
+@query("completeness_pipeline", f"""with {RECORD_SQL} select product_id, least(100, {_P((_T('name'), 10), (_T('brand'), 5), (_T('product_type'), 5), (_N('abv'), 5), (_T('description'), 5))}
+ + {_P((_L('palate_flavors', 2), 10), (_T('palate_description') + ' or ' + _T('initial_taste'), 5), (_T('mid_palate_evolution'), 3), (_T('mouthfeel'), 2))} + {_P((_T('nose_description'), 5), (_L('primary_aromas', 2), 5))}
+ + {_P((_T('finish_description') + ' or ' + _T('final_notes'), 5), (_L('finish_flavors', 2), 3), (_N('finish_length'), 2))} + {_P((_N('best_price') + ' or ' + _N('price'), 5), (_L('images'), 5), (_L('ratings'), 5), (_L('awards'), 5), ('coalesce(source_count, 1) >= 2', 5), ('coalesce(source_count, 1) >= 3', 5))}) as score from r""")
+def completeness_pipeline(spark, folder):
+    return record(spark, folder).select("product_id", S.completeness_pipeline().alias("score"))
+
+
+_HAVE = {
+    "name": "trim(name) <> ''", "brand": "brand_id is not null", "product_type": "trim(product_type) <> ''", "abv": "abv is not null", "category": "trim(category) <> ''", "nose_description": "trim(nose_description) <> ''",
+    "palate_flavors": "{len}(palate_flavors) > 0", "finish_length": "finish_length is not null", "primary_aromas": "{len}(primary_aromas) > 0", "color_description": "trim(color_description) <> ''", "best_price": "best_price is not null",
+    "award_count": "{len}(awards) > 0", "rating_count": "{len}(ratings) > 0",
+}
+
+
+def _have(field: str) -> str:
+    return _HAVE[field].format(len="len") if field in _HAVE else "false"
+
+
+@query("missing_weighted", f"with {RECORD_SQL}, m as (select product_id, unnest([{', '.join(f'case when coalesce({_have(f)}, false) then 0 else {w} end' for f, w in S.WEIGHTED_FIELDS.items())}]) as w, unnest([{', '.join(repr(f) for f in S.WEIGHTED_FIELDS)}]) as f, unnest(range({len(S.WEIGHTED_FIELDS)})) as i from r) select product_id, string_agg(f, ',' order by i) filter (where w > 0) as missing, sum(w)::int as weight from m group by 1")
+def missing_weighted(spark, folder):
+    """Weighted fields that a record hasn't, in order, and what they weigh together."""
+    found = S.missing_weighted({f: F.expr(e.format(len="size")) for f, e in _HAVE.items()})
+    rows = record(spark, folder).select("product_id", found.alias("m"))
+    return rows.select("product_id", F.array_join(F.transform("m", lambda x: x["field"]), ",").alias("missing"), F.aggregate("m", F.lit(0), lambda a, x: a + x["weight"]).alias("weight"))
+
+
 @query("completeness", f"with {RECORD_SQL}, {SCORE_SQL} select product_id, score, case when score >= 90 then 'complete' when score >= 70 then 'good' when score >= 40 then 'partial' else 'skeleton' end as tier from s")
 def completeness(spark, folder):
     return record(spark, folder).select("product_id", S.completeness().alias("score")).withColumn("tier", S.tier(F.col("score")))

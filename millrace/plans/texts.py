@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import texts as T
 from millrace.functions import urls as U
 from millrace.operators.monitoring import latest
+from millrace.operators.matching import known_by_first_word
 from millrace.registry import query
 from millrace.sources.tables import table
 
@@ -76,19 +77,23 @@ def content_dedup(spark, folder):
 
 @query(
     "dedup_check_all",
-    f"""with p as (select page_id, {canonical_sql('url')} as u, sha256(html) as c, p_name from pages left join part on p_partkey = page_id % 100),
+    f"""with p as (select page_id, {canonical_sql('url')} as u, sha256(html) as c, p_name, case when page_id % 5 > 0 then p_brand end as p_brand from pages left join part on p_partkey = page_id % 100),
 old as (select * from p where page_id % 3 = 0), new as (select * from p where page_id % 3 > 0)
-select page_id, case when u in (select u from old) then 'url' when c in (select c from old) then 'content' when p_name in (select p_name from old where p_name is not null) then 'product' end as duplicate_type from new""",
+select page_id, case when u in (select u from old) then 'url' when c in (select c from old) then 'content' when exists (select 1 from old where contains(lower(old.p_name), lower(string_split(new.p_name, ' ')[1])) and (new.p_brand is null or lower(old.p_brand) = lower(new.p_brand))) then 'product' end as duplicate_type from new""",
 )
 def dedup_check_all(spark, folder):
-    """The first of URL, content and product by which a new page is known already; each test is an existence join."""
+    """The first of URL, content and product by which a new page is known already; each test is an existence join.
+
+    A product is known by its brand, if one is given, and its name's first word.
+    """
     pages = table(spark, folder, "pages").join(table(spark, folder, "part"), F.col("p_partkey") == F.col("page_id") % 100, "left")
-    rows = pages.select("page_id", U.canonical(F.col("url")).alias("u"), F.sha2("html", 256).alias("c"), "p_name")
+    rows = pages.select("page_id", U.canonical(F.col("url")).alias("u"), F.sha2("html", 256).alias("c"), F.col("p_name").alias("name"), F.when(F.col("page_id") % 5 > 0, F.col("p_brand")).alias("brand"))
     old, new = rows.filter("page_id % 3 = 0"), rows.filter("page_id % 3 > 0")
-    for column, mark in (("u", "by_url"), ("c", "by_content"), ("p_name", "by_product")):
+    product = known_by_first_word(new.select(F.col("page_id").alias("probe_id"), "name", "brand"), old.select("name", "brand")).select(F.col("probe_id").alias("page_id"), F.lit(True).alias("by_product"))
+    for column, mark in (("u", "by_url"), ("c", "by_content")):
         new = new.join(old.select(column).distinct().withColumn(mark, F.lit(True)), column, "left")
     kind = F.when(F.col("by_url"), "url").when(F.col("by_content"), "content").when(F.col("by_product"), "product")
-    return new.select("page_id", kind.alias("duplicate_type"))
+    return new.join(product, "page_id", "left").select("page_id", kind.alias("duplicate_type"))
 
 
 NAMES = ["Lagavulin™ 16 Year  Single Malt Whisky", "Château d'Été®", "  The   Macallan 12 whisky ", "GIN rum", "", None, "Rum", "whisky-whiskey brandy", "Port & Wine!"]

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import gzip
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .scratch import settled
 
 ORGANIC = "array<struct<position:int,title:string,link:string,snippet:string>>"
 SHOPPING = "array<struct<position:int,title:string,price:string,source:string,link:string>>"
@@ -55,3 +62,40 @@ def allowed(url: Column, patterns: list[str]) -> Column:
         except re.error:
             continue
     return url.rlike("(?i)(?:" + "|".join(good) + ")") if good else F.lit(True)
+
+
+@F.pandas_udf(T.StringType())
+def unpacked(body: pd.Series) -> pd.Series:
+    """A sitemap's text from its bytes, which may be gzip members; null for what can't be unpacked."""
+
+    def one(raw):
+        try:
+            return None if raw is None else (gzip.decompress(raw) if bytes(raw[:2]) == b"\x1f\x8b" else bytes(raw)).decode("utf-8", "replace")
+        except (OSError, EOFError, zlib.error):
+            return None
+
+    return body.map(one)
+
+
+def crawl_sitemaps(files: DataFrame, start: str, most_depth: int = 3) -> DataFrame:
+    """(depth, the files' columns, url, lastmod, priority): the entries of a sitemap, and of those that an index names.
+
+    files has (address, body, further columns); an index's entries lead to files by address, level by level, no deeper
+    than ``most_depth``, and no file is read twice.
+    """
+    texts = files.withColumn("xml", unpacked(F.col("body"))).drop("body")
+    keep = [c for c in texts.columns if c != "xml"]
+    wanted = texts.filter(F.col("address") == start).withColumn("depth", F.lit(0))
+    seen, out = wanted.select("address"), None
+    for depth in range(most_depth + 1):
+        entries = sitemap_entries(wanted.withColumn("key", F.struct(*keep, "depth")), "key", "xml")
+        rows = settled(entries.select("key.depth", *(f"key.{c}" for c in keep), "is_index", "url", "lastmod", "priority"))
+        out = rows if out is None else out.unionByName(rows)
+        if depth == most_depth:
+            break
+        named = settled(rows.filter("is_index").select(F.col("url").alias("address")).distinct().join(seen, "address", "left_anti"))
+        if named.isEmpty():
+            break
+        wanted = texts.join(named, "address", "left_semi").withColumn("depth", F.lit(depth + 1))
+        seen = seen.unionByName(named)
+    return out

@@ -49,20 +49,23 @@ def failure_streaks(stream: DataFrame, key: str, failed: Column, alert_at: int =
         if state.hasTimedOut:
             state.remove()
             return
-        streak = state.get[0] if state.exists else 0
+        streak, last = state.get if state.exists else (0, None)
         alerts = []
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         for ts, hit in zip(rows["ts"], rows["failed"]):
+            now = int(ts.timestamp() * 1000)
+            if last is not None and now - last > expire_ms:
+                streak = 0
+            last = now if last is None else max(last, now)
             streak = streak + 1 if hit else 0
             if hit and streak == alert_at:
                 alerts.append((keys[0], ts, streak))
-        state.update((streak,))
-        last = int(rows["ts"].max().timestamp() * 1000)
+        state.update((streak, last))
         state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + expire_ms)
         yield pd.DataFrame(alerts, columns=[key, "ts", "streak"])
 
     marked = stream.select(key, "ts", "event_id", failed.alias("failed")).withWatermark("ts", expire)
-    return marked.groupBy(key).applyInPandasWithState(step, f"{key} bigint, ts timestamp, streak int", "streak int", "append", GroupStateTimeout.EventTimeTimeout)
+    return marked.groupBy(key).applyInPandasWithState(step, f"{key} bigint, ts timestamp, streak int", "streak int, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def learned_profile(stream: DataFrame, key: str, value: str, alpha: float = 0.2) -> DataFrame:
@@ -79,24 +82,82 @@ def learned_profile(stream: DataFrame, key: str, value: str, alpha: float = 0.2)
     return stream.select(key, "ts", "event_id", value).groupBy(key).applyInPandasWithState(step, f"{key} bigint, n long, ema double", "n long, ema double", "update", GroupStateTimeout.NoTimeout)
 
 
-def price_alerts(stream: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, ts, value): each value below all earlier ones of its key; the state is the lowest so far."""
+def price_alerts(stream: DataFrame, key: str, value: str, threshold: float | None = None) -> DataFrame:
+    """(key, ts, value): each value below all earlier ones of its key, and, with ``threshold``, a key's first value
+    below that, once; the state is the lowest so far and whether the threshold has triggered."""
 
     def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        lowest = state.get[0] if state.exists else None
+        lowest, triggered = state.get if state.exists else (None, False)
         out = []
         for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
             v = getattr(r, value)
             if v is None or v != v:
                 continue
-            if lowest is not None and v < lowest:
+            fell = threshold is not None and not triggered and v < threshold
+            if fell or (lowest is not None and v < lowest):
                 out.append((keys[0], r.ts, v))
+            triggered = triggered or fell
             lowest = v if lowest is None else min(lowest, v)
         if lowest is not None:
-            state.update((float(lowest),))
+            state.update((float(lowest), triggered))
         yield pd.DataFrame(out, columns=[key, "ts", value])
 
-    return stream.select(key, "ts", "event_id", value).groupBy(key).applyInPandasWithState(step, f"{key} bigint, ts timestamp, {value} double", "lowest double", "append", GroupStateTimeout.NoTimeout)
+    return stream.select(key, "ts", "event_id", value).groupBy(key).applyInPandasWithState(step, f"{key} bigint, ts timestamp, {value} double", "lowest double, triggered boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def domain_profiles(stream: DataFrame, key: str, alpha: float = 0.3, times: float = 0.2) -> DataFrame:
+    """(key, fetches, success_1, success_2, success_3, response_ms, recommended) after each batch: for each domain the
+    moving success rate of each fetch tier, which starts at 1, the moving response time, and the cheapest tier that
+    mostly works. Rows: key, ts, event_id, tier, ok, response_ms."""
+
+    def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, *rates, ms = state.get if state.exists else (0, 1.0, 1.0, 1.0, 0.0)
+        for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
+            i = int(r.tier) - 1
+            rates[i] = alpha * float(r.ok) + (1 - alpha) * rates[i]
+            ms = float(r.response_ms) if n == 0 else times * float(r.response_ms) + (1 - times) * ms
+            n += 1
+        state.update((n, *rates, ms))
+        tier = 1 if rates[0] >= 0.5 else 2 if rates[1] >= 0.5 else 3
+        yield pd.DataFrame([(keys[0], n, *rates, ms, tier)], columns=[key, "fetches", "success_1", "success_2", "success_3", "response_ms", "recommended"])
+
+    fields = "success_1 double, success_2 double, success_3 double, response_ms double"
+    rows = stream.select(key, "ts", "event_id", "tier", "ok", "response_ms")
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} bigint, fetches long, {fields}, recommended int", f"n long, {fields}", "update", GroupStateTimeout.NoTimeout)
+
+
+def low_yield_aborts(stream: DataFrame, key: str, value: str, least: float, run: int = 3) -> DataFrame:
+    """(key, ts, pages, items): the moment at which ``run`` pages of a source in a row gave fewer than ``least`` items;
+    later pages of a source that was given up are not counted."""
+
+    def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        low, pages, items, over = state.get if state.exists else (0, 0, 0.0, False)
+        out = []
+        for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
+            if over:
+                break
+            v = float(getattr(r, value))
+            pages, items, low = pages + 1, items + v, low + 1 if v < least else 0
+            if low == run:
+                over = True
+                out.append((keys[0], r.ts, pages, items))
+        state.update((low, pages, items, over))
+        yield pd.DataFrame(out, columns=[key, "ts", "pages", "items"])
+
+    rows = stream.select(key, "ts", "event_id", value)
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} bigint, ts timestamp, pages long, items double", "low long, pages long, items double, over boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def monthly_quota(stream: DataFrame, key: str, limit: int) -> DataFrame:
+    """(key, month, used, remaining) for output mode ``update``: requests of each month against a limit."""
+    month = F.date_format(F.date_trunc("month", F.col("ts")), "yyyy-MM")
+    used = stream.groupBy(key, month.alias("month")).agg(F.count("*").alias("used"))
+    return used.withColumn("remaining", F.greatest(F.lit(0), F.lit(limit) - F.col("used")))
+
+
+def polled(stream: DataFrame, every: str, work, checkpoint: str):
+    """``work(batch, number)`` on what is new, at a fixed time: what a scheduler's beat would do."""
+    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
 def drained(stream: DataFrame, mode: str, name: str, checkpoint: str) -> DataFrame:

@@ -131,8 +131,8 @@ def test_cascade_takes_the_newest(spark):
 
 
 def test_greedy_pairs_free_each_candidate_once(spark):
-    pairs = spark.createDataFrame([("b", 1, 1, 10, 90), ("b", 1, 1, 11, 95), ("b", 2, 2, 11, 99), ("b", 2, 2, 10, 88)], "block string, probe_order bigint, probe_id bigint, candidate_id bigint, score int")
-    assert sorted(tuple(r) for r in matching.greedy_pairs(pairs, "block").collect()) == [(1, 11, 95), (2, 10, 88)]
+    pairs = spark.createDataFrame([(1, 1, 10, 90), (1, 1, 11, 95), (2, 2, 11, 99), (2, 2, 10, 88)], "probe_order bigint, probe_id bigint, candidate_id bigint, score int")
+    assert sorted(tuple(r) for r in matching.greedy_pairs(pairs).collect()) == [(1, 11, 95), (2, 10, 88)]
 
 
 def test_ratios():

@@ -70,3 +70,44 @@ def test_queue_pops_by_batch(spark, folder, tmp_path):
     stream = S.events(spark, folder).select(F.col("event_id").cast("string").alias("url"), "value").withColumnRenamed("value", "priority")
     S.top_of_queue(stream, str(tmp_path / "out"), 3, str(tmp_path / "c")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 12
+
+
+def arriving(spark, path, rows, schema):
+    """Rows as files, one after the other."""
+    for r in rows:
+        spark.createDataFrame([r], schema).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def test_a_streak_ends_after_a_long_gap_even_if_no_timer_fired(spark, tmp_path):
+    times = ["2024-01-01 00:00:00", "2024-01-01 01:00:00", "2024-01-03 00:00:00", "2024-01-03 01:00:00", "2024-01-03 02:00:00"]
+    rows = [(i, t, 1, "error", 1.0) for i, t in enumerate(times)]
+    path = str(tmp_path / "e")
+    spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(path)
+    got = S.drained(S.failure_streaks(S.events(spark, path), "user_id", F.col("event_type") == "error"), "append", "gap", str(tmp_path / "c"))
+    assert [str(r.ts) for r in got.collect()] == ["2024-01-03 02:00:00"]
+
+
+def test_threshold_alerts_go_out_once(spark, tmp_path):
+    rows = [(i, f"2024-01-01 00:00:0{i}", 1, "x", v) for i, v in enumerate([100.0, 95.0, 120.0, 94.0, 96.0])]
+    path = arriving(spark, str(tmp_path / "e"), rows, "event_id bigint, ts string, user_id bigint, event_type string, value double")
+    got = S.drained(S.price_alerts(S.events(spark, path), "user_id", "value", 97.0), "append", "limits", str(tmp_path / "c"))
+    assert sorted(r.value for r in got.collect()) == [94.0, 95.0]
+
+
+def test_domain_profiles(spark, tmp_path):
+    rows = [(i, f"2024-01-01 00:00:0{i}", 1, tier, ok, ms) for i, (tier, ok, ms) in enumerate([(1, False, 100.0), (1, False, 200.0), (1, False, 200.0), (2, True, 300.0)])]
+    path = arriving(spark, str(tmp_path / "e"), rows, "event_id bigint, ts string, domain bigint, tier int, ok boolean, response_ms double")
+    got = S.drained(S.domain_profiles(S.events(spark, path), "domain"), "update", "profiles", str(tmp_path / "c"))
+    last = got.orderBy(F.desc("fetches")).first()
+    assert last.fetches == 4 and last.success_1 == pytest.approx(0.343) and last.success_2 == 1.0 and last.recommended == 2
+    assert last.response_ms == pytest.approx(0.2 * 300 + 0.8 * (0.2 * 200 + 0.8 * (0.2 * 200 + 0.8 * 100)))
+
+
+def test_low_yield_and_quota(spark, tmp_path):
+    rows = [(i, f"2024-01-01 00:00:0{i}", 1, "x", v) for i, v in enumerate([5.0, 1.0, 0.0, 1.0, 9.0])]
+    path = arriving(spark, str(tmp_path / "e"), rows, "event_id bigint, ts string, user_id bigint, event_type string, value double")
+    got = S.drained(S.low_yield_aborts(S.events(spark, path), "user_id", "value", 2.0), "append", "yields", str(tmp_path / "c")).collect()
+    assert [(r.pages, r["items"]) for r in got] == [(4, 7.0)]
+    quota = S.drained(S.monthly_quota(S.events(spark, path), "user_id", 7), "complete", "quota", str(tmp_path / "d")).collect()
+    assert [tuple(r) for r in quota] == [(1, "2024-01", 5, 2)]
