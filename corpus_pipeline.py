@@ -2,6 +2,12 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs. All stages but the last return the columns of documents.
+
+Defined cases, each in its stage: a null text is the empty text, stays null until the last stage, and is empty there; a
+null doc_id counts as the empty id for the toxicity folds, and its rows stay as they are among near duplicates; rows that
+repeat doc_id and text are one document after the near-duplicate stage; of equally near documents the smallest doc_id
+stays; columns that documents doesn't have by default are kept by all stages but the last, whatever they are named;
+empty tables of documents, labels or benchmark items pass through.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import byte_bpe, decontam, neardup, pii, toxicity
-from millrace.llm.common import read_table, written
+from millrace.llm.common import read_table, scratch, written
 from millrace.session import ship_package
 
 
@@ -58,7 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what stages write for themselves, and for the next one, is deleted when it is read."""
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with scratch() as lasting:
+        for name, stage in STAGES[:-1]:
+            with scratch() as kept:
+                docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+                kept.append(docs)
+        lasting.append(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
