@@ -65,3 +65,26 @@ def test_empty_documents(spark, tmp_path):
         spark, tmp_path, documents=documents(spark, []), labels=spark.createDataFrame([], "doc_id bigint, quality int, toxic int"), benchmark=spark.createDataFrame([], "item_id bigint, text string")
     )
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_further_columns_nulls_and_repeated_rows(spark, tmp_path):
+    texts, toxic, _ = corpus(60, 31)
+    texts = [t.replace("!!", "") for t in texts]
+    rows = [*texts, None, None, "", "same words here again and again", "same words here again and again", "left alone"]
+    ids = [*range(60), 60, 61, 62, 63, 63, None]
+    folder = write_tables(
+        spark, tmp_path,
+        documents=documents(spark, rows, extra=True, ids=ids),
+        labels=spark.createDataFrame([(i, 1, int(t)) for i, t in enumerate(toxic)] + [(None, None, 1), (3, None, None)], "doc_id bigint, quality int, toxic int"),
+        benchmark=spark.createDataFrame([(None, None), (1, "")], "item_id bigint, text string"),
+    )
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, folder).columns == docs.columns, name
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, folder).collect()
+    assert sum(r.doc_id == 63 for r in kept) == 1 and sum(r.doc_id is None for r in kept) == 1
+    assert {r.doc_id for r in kept if not r.text} == {60}  # null and empty texts are equal
+    assert all(r.key == "k" and r.n == "n" for r in kept)
+    out = corpus_pipeline.run(spark, folder)
+    assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "text"]
+    assert {r.text for r in out.filter("doc_id = 60").collect()} <= {""}
