@@ -34,7 +34,9 @@ def runs(rows: DataFrame, keys: list[str], order: list[str], hit: Column) -> Dat
 def moving_average(rows: DataFrame, key: str, order: list[str], value: str, alpha: float, start: float | None = None) -> DataFrame:
     """(key, n, ema): the exponential moving average of ``value`` in order; ``start`` or the first value begins it.
 
-    The fold needs a key's values in order; they are collected as structs of the order and the value alone.
+    The fold needs a key's values in order; they are collected as structs of the order and the value alone. So a key's
+    whole history, two numbers an observation, stands in one row: that is inherent to the fold, whose result depends on
+    the order, and bounds its use to keys of some millions of observations.
     """
     sorted_values = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("v"))))
     lists = rows.groupBy(key).agg(F.transform(sorted_values, lambda s: s["v"]).alias("vs"))

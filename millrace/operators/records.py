@@ -127,3 +127,19 @@ def stored_source(sources: DataFrame, crawled: DataFrame) -> DataFrame:
     hit = F.col("n.raw_content").isNotNull()
     take = lambda c: F.when(hit, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
     return both.select("url", *(take(c) for c in ("title", "raw_content", "content_hash", "source_type")), F.coalesce("n.preprocessed", "o.preprocessed").alias("preprocessed"))
+
+
+def resolve_brands(records: DataFrame, brands: DataFrame) -> DataFrame:
+    """records (record_id, brand, distillery, producer, producer_house) with ``name``, ``slug`` and the known
+    ``brand_id``, by name without case, then by slug; ``created`` where neither is known, null without any name.
+
+    The name is the first of the four that is filled; a distillery's goes without that word.
+    """
+    said = lambda c: F.nullif(F.trim(c), F.lit(""))
+    plain = F.trim(F.replace(said("distillery"), F.lit(" Distillery"), F.lit("")))
+    rows = records.withColumn("name", F.coalesce(said("brand"), F.nullif(plain, F.lit("")), said("producer"), said("producer_house")))
+    rows = rows.withColumn("folded", F.lower("name")).withColumn("slug", F.trim(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "-"), F.lit("-")))
+    by_name = brands.groupBy(F.lower("name").alias("folded")).agg(F.min("brand_id").alias("a"))
+    by_slug = brands.groupBy("slug").agg(F.min("brand_id").alias("b"))
+    found = rows.join(by_name, "folded", "left").join(by_slug, "slug", "left").withColumn("brand_id", F.coalesce("a", "b"))
+    return found.select("record_id", "name", "slug", "brand_id", F.when(F.col("name").isNotNull(), F.col("brand_id").isNull()).alias("created"))

@@ -24,6 +24,14 @@ def page_product_section(spark, folder):
     return table(spark, folder, "pages").select("page_id", H.product_section(F.col("html")).alias("section"))
 
 
+@query("made_signature", "select page_id, md5('html|div:class=a,b' || page_id % 3 || ':id=x:data-k|p|img:data-z|div:class=a,b' || page_id % 3) as signature from pages")
+def made_signature(spark, folder):
+    """Signatures of made pages: elements, sorted classes, ids and names of data attributes, no texts or values."""
+    cls = F.concat(F.lit("b"), (F.col("page_id") % 3).cast("string"))
+    page = F.concat(F.lit('<html><div data-k="'), F.col("page_id").cast("string"), F.lit('" id="x" class="'), cls, F.lit(' a"><p>'), "url", F.lit('</p><img data-z src="'), "url", F.lit('"></div><div class="a '), cls, F.lit('"></div></html>'))
+    return table(spark, folder, "pages").select("page_id", H.dom_signature(page).alias("signature"))
+
+
 @query("dom_signature")
 def dom_signature(spark, folder):
     return table(spark, folder, "pages").select("page_id", H.dom_signature("html").alias("signature"))

@@ -169,7 +169,12 @@ def source_similarity(spark, folder):
     return pairs.select("probe_id", F.round(fuzzy.source_similarity(F.col("name"), F.col("other")), 6).alias("similarity"))
 
 
-@query("variant_detect")
+_NAME = "trim(regexp_replace(regexp_replace(lower(trim({0})), '^the\\s+', ''), '\\s+', ' ', 'g'))"
+_VARIANT = " ".join(f"when {' or '.join(f'(contains(a, {chr(39)}{w}{chr(39)}) and not contains(b, {chr(39)}{w}{chr(39)}))' for w in words)} then '{kind}'" for kind, words in M.VARIANTS.items())
+
+
+@query("variant_detect", f"""with p as (select p_name, min(p_partkey) as id from part group by 1), n as (select id, p_name as x, p_name || case id % 4 when 0 then ' Sherry Cask' when 1 then ' Cask Strength' when 2 then ' Limited Edition' else '' end as y from p),
+k as (select id, {_NAME.format('y')} as a, {_NAME.format('x')} as b, round_even(200.0 * length(x) / (length(x) + length(y)), 0) as ratio from n) select id, case when ratio <= 95 then case {_VARIANT} end end as variant_type from k""")
 def variant_detect(spark, folder):
     """Variants of part names made by adding a finish or edition; the rest of the names are no variants."""
     parts = table(spark, folder, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id"))

@@ -136,3 +136,62 @@ def store_sources(spark, folder):
     old = pages.filter("page_id % 2 = 0").groupBy("url").agg(F.min("page_id").alias("p")).select("url", F.concat(F.lit("old "), "p").alias("title"), F.lit("x").alias("raw_content"), F.lit("hash").alias("content_hash"), F.lit("page").alias("source_type"), F.lit("old pre").alias("preprocessed"))
     new = pages.filter("page_id % 3 = 0").select("url", F.concat(F.lit("new "), "page_id").alias("title"), F.concat(F.lit("content "), "page_id").alias("raw_content"), F.lit("page").alias("source_type"), F.when(F.col("page_id") % 2 == 1, "pre").alias("preprocessed"), F.col("page_id").alias("crawled_at"))
     return R.stored_source(old, new).select("url", "title", "content_hash", "preprocessed")
+
+
+@query("brand_match", """with r as (select p_partkey as record_id, case when p_partkey % 3 = 0 then ' ' else case when p_partkey % 2 = 0 then upper(p_brand) else replace(p_brand, '#', ' ') end end as brand, case when p_partkey % 4 > 0 then split_part(p_name, ' ', 1) || ' Distillery' end as distillery, case when p_partkey % 5 > 0 then p_type end as producer from part),
+n as (select record_id, coalesce(nullif(trim(brand), ''), nullif(trim(replace(trim(distillery), ' Distillery', '')), ''), producer) as name from r), s as (select *, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') as slug from n),
+b as (select p_brand as name, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '-') as slug, min(p_partkey) as id from part where p_size > 10 group by 1)
+select record_id, s.name, s.slug, coalesce((select min(id) from b where lower(b.name) = lower(s.name)), (select min(id) from b where b.slug = s.slug)) as brand_id, case when s.name is not null then coalesce((select min(id) from b where lower(b.name) = lower(s.name)), (select min(id) from b where b.slug = s.slug)) is null end as created from s""")
+def brand_match(spark, folder):
+    """Records' brands by the first name that is filled, matched with known brands by name, then by slug."""
+    parts, k = table(spark, folder, "part"), F.col("p_partkey")
+    brand = F.when(k % 3 == 0, " ").when(k % 2 == 0, F.upper("p_brand")).otherwise(F.replace("p_brand", F.lit("#"), F.lit(" ")))
+    distillery = F.when(k % 4 > 0, F.concat(F.element_at(F.split("p_name", " "), 1), F.lit(" Distillery")))
+    records = parts.select(k.alias("record_id"), brand.alias("brand"), distillery.alias("distillery"), F.when(k % 5 > 0, F.col("p_type")).alias("producer"), F.lit(None).cast("string").alias("producer_house"))
+    slug = F.trim(F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]+", "-"), F.lit("-"))
+    brands = parts.filter("p_size > 10").groupBy("p_brand").agg(F.min("p_partkey").alias("brand_id")).select("brand_id", F.col("p_brand").alias("name"), slug.alias("slug"))
+    return R.resolve_brands(records, brands)
+
+
+@query("serp_shopping", "select page_id // 10 as query_id, row_number() over (partition by page_id // 10 order by page_id)::int as rank, 'item ' || page_id as title, (page_id + 0.5)::double as price, 'USD' as currency, case when page_id % 3 > 0 then 'shop' else '' end as source from pages")
+def serp_shopping(spark, folder):
+    """Shopping results with their prices as numbers."""
+    from millrace.functions.texts import currency, price
+
+    entry = F.struct("page_id", F.concat(F.lit("item "), "page_id").alias("title"), F.concat(F.lit("$"), (F.col("page_id") + 0.5).cast("string")).alias("price"), F.when(F.col("page_id") % 3 > 0, "shop").alias("source"))
+    rows = W.search_results(_response(spark, folder, entry, "shopping_results"), "query_id", "response", "shopping_results")
+    return rows.select("query_id", "rank", "title", price(F.col("price")).alias("price"), currency(F.col("price")).alias("currency"), "source")
+
+
+def _response(spark, folder, entry, kind):
+    """Ten pages make a search response of a kind in JSON."""
+    return table(spark, folder, "pages").groupBy(F.floor(F.col("page_id") / 10).alias("query_id")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(entry)).alias(kind))).alias("response"))
+
+
+@query("serp_images", "select page_id // 10 as query_id, row_number() over (partition by page_id // 10 order by page_id)::int as rank, 'https://i.example/' || page_id as original, case page_id % 3 when 0 then 'bottle' when 1 then 'label' else 'unknown' end as kind from pages")
+def serp_images(spark, folder):
+    """Picture results with their kind by title."""
+    from millrace.operators.classify import first_word
+
+    title = F.when(F.col("page_id") % 3 == 0, "Front of the Bottle").when(F.col("page_id") % 3 == 1, "label")
+    entry = F.struct("page_id", title.alias("title"), F.concat(F.lit("https://i.example/"), "page_id").alias("original"))
+    rows = W.search_results(_response(spark, folder, entry, "images_results"), "query_id", "response", "images_results")
+    return rows.select("query_id", "rank", "original", first_word(F.col("title"), [("bottle", "bottle"), ("label", "label"), ("pack", "packaging"), ("box", "packaging"), ("lifestyle", "lifestyle")], "unknown").alias("kind"))
+
+
+@query("serp_news", "select page_id // 10 as query_id, row_number() over (partition by page_id // 10 order by page_id)::int as rank, url as link, (page_id % 6) * 7 as age from pages")
+def serp_news(spark, folder):
+    """News results with their age in days."""
+    from millrace.functions.texts import age_days
+
+    entry = F.struct("page_id", F.col("url").alias("link"), F.concat((F.col("page_id") % 6).cast("string"), F.lit(" weeks ago")).alias("date"))
+    rows = W.search_results(_response(spark, folder, entry, "news_results"), "query_id", "response", "news_results")
+    return rows.select("query_id", "rank", "link", age_days(F.col("date")).cast("bigint").alias("age"))
+
+
+@query("robots_sitemaps", "select page_id, 1 + (page_id % 2)::int as sitemaps, 'https://s.example/' || page_id || '.xml' as first from pages")
+def robots_sitemaps(spark, folder):
+    """The sitemaps that robots files name."""
+    text = F.concat(F.lit("User-agent: *\nDisallow: /sitemap: no\nSITEMAP:  https://s.example/"), "page_id", F.lit(".xml \n"), F.when(F.col("page_id") % 2 == 1, "sitemap: b\n").otherwise(""))
+    rows = table(spark, folder, "pages").select("page_id", W.robots_sitemaps(text).alias("s"))
+    return rows.select("page_id", F.size("s").alias("sitemaps"), F.element_at("s", 1).alias("first"))

@@ -116,3 +116,28 @@ def cost_rollup(spark, folder):
     """An extension: cost levels in one pass by grouping sets."""
     rows = table(spark, folder, "events").select(F.col("event_type").alias("service"), F.to_date("ts").cast("string").alias("day"))
     return rows.rollup("service", "day").agg(F.count("*").alias("request_count"), F.grouping_id().cast("int").alias("level"))
+
+
+@query("should_enrich", "select o_orderkey, case o_orderstatus when 'F' then true when 'O' then false else true end as v3 from orders")
+def should_enrich(spark, folder):
+    status = F.when(F.col("o_orderstatus") == "F", "skeleton").when(F.col("o_orderstatus") == "O", "complete").otherwise("baseline")
+    return table(spark, folder, "orders").select("o_orderkey", R.should_enrich(status).alias("v3"))
+
+
+@query("learned_timeout", "select event_id, least(case when event_id % 9 >= 5 then greatest(trunc(value * 30 * 3)::int, 10000) else 20000 end * pow(2, event_id % 4), 60000)::int as timeout_ms from events")
+def learned_timeout(spark, folder):
+    """A domain's timeout by its average response, doubled with each attempt."""
+    from millrace.operators.monitoring import learned_timeout as learned
+
+    return table(spark, folder, "events").select("event_id", learned(F.col("value") * 30, F.col("event_id") % 9, F.col("event_id") % 4).alias("timeout_ms"))
+
+
+@query("populated_fields", "select p_partkey, trim(case p_partkey % 3 when 0 then ' ' when 1 then p_name end) <> '' and p_partkey % 3 = 1 as text, p_partkey % 4 > 0 as number, p_partkey % 5 > 1 as list from part")
+def populated_fields(spark, folder):
+    """Which fields count as filled: 0 does, blanks and empty lists don't."""
+    from millrace.functions.texts import populated
+
+    k = F.col("p_partkey")
+    text = F.when(k % 3 == 0, " ").when(k % 3 == 1, F.col("p_name"))
+    listed = F.when(k % 5 == 1, F.array().cast("array<string>")).when(k % 5 > 1, F.split("p_name", " "))
+    return table(spark, folder, "part").select("p_partkey", populated(text, "string").alias("text"), populated(F.when(k % 4 > 0, F.lit(0)), "number").alias("number"), populated(listed, "array").alias("list"))
