@@ -126,6 +126,14 @@ def first_lists(rows: DataFrame, key: list[str], order: str, values: str) -> Dat
     return _collected(items.withColumn("__item", F.col("item")), key)
 
 
+def refresh_lists(rows: DataFrame, key: list[str], order: str, values: str, confidence: str) -> DataFrame:
+    """(key, values, confidence) of list fields refreshed: all sources' items in order, each once without case and
+    outer spaces, whatever the confidence, and the highest confidence."""
+    items = rows.select(*key, F.col(order).alias("o"), F.posexplode(values).alias("i", "item"))
+    lists = _collected(items.withColumn("__item", key_of(F.col("item"))), key)
+    return rows.groupBy(*key).agg(F.max(confidence).alias("confidence")).join(lists, key, "left").select(*key, "values", "confidence")
+
+
 def _collected(items: DataFrame, key: list[str]) -> DataFrame:
     first = items.groupBy(*key, "__item").agg(F.min(F.struct("o", "i", "item")).alias("f"))
     return first.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list("f")), lambda f: f["item"]).alias("values"))

@@ -118,6 +118,23 @@ RETAILERS = (
 RETAILERS_V2 = ("masterofmalt", "thewhiskyexchange", "whiskyexchange", "totalwine", "wine.com", "drizly", "reservebar", "klwines", "finedrams", "thewhiskyshop", "amazon", "ebay", "walmart")
 SHOP_HOSTS = ("thewhiskyexchange.com", "masterofmalt.com", "whiskybase.com", "totalwine.com", "klwines.com", "drizly.com", "reservebar.com", "caskers.com", "wine-searcher.com")
 REVIEW_HOSTS = ("whiskyadvocate.com", "whisky.com", "thewhiskeywash.com", "maltwhiskyreviews.com", "breakingbourbon.com")
+# Hosts that results, official sites and targets are never taken from, and hosts of targets that go first.
+SKIPPED_RESULTS = ("amazon.com", "ebay.com", "walmart.com", "target.com", "facebook.com", "instagram.com", "twitter.com", "youtube.com", "reddit.com", "pinterest.com")
+NEVER_OFFICIAL = (
+    "thewhiskyexchange.com", "masterofmalt.com", "whiskybase.com", "drinksupermarket.com", "amazon.com", "amazon.co.uk", "ebay.com", "ebay.co.uk",
+    "wine-searcher.com", "vivino.com", "totalwine.com", "klwines.com", "caskers.com", "reservebar.com", "drizly.com", "facebook.com", "twitter.com",
+    "instagram.com", "linkedin.com", "youtube.com", "wikipedia.org", "reddit.com",
+)
+EXCLUDED_HOSTS = (
+    "wikipedia.org", "reddit.com", "facebook.com", "twitter.com", "instagram.com", "pinterest.com", "youtube.com", "amazon.com", "amazon.co.uk",
+    "ebay.com", "ebay.co.uk", "linkedin.com", "tiktok.com", "quora.com",
+)
+PRIORITY_HOSTS = (
+    "whiskyadvocate.com", "thewhiskeywash.com", "robbreport.com", "vinepair.com", "breakingbourbon.com", "masterofmalt.com", "thewhiskyexchange.com",
+    "wine-searcher.com", "vivino.com", "tastingtable.com", "wineenthusiast.com", "decanter.com", "whiskybase.com", "distiller.com",
+)
+TARGET_WORDS = ("review", "rating", "score", "tasting", "best", "top")
+OFFICIAL_TITLES, OFFICIAL_SNIPPETS = ("official", "home", "welcome to"), ("official", "our distillery", "our whisky", "visit us")
 # Words that tell the kind of a search.
 QUERY_KINDS = (("whiskey", ("whisky", "whiskey", "scotch", "bourbon", "rye")), ("port_wine", ("port", "wine")), ("rum", ("rum",)), ("gin", ("gin",)))
 # Patterns of list pages and of pages of one product.
@@ -253,6 +270,32 @@ def result_category(host: Column, title: Column, snippet: Column, search: Column
     )
 
 
+def result_priority(host: Column, name: Column) -> Column:
+    """The place of a search result for a product, small ones first: 0 for brands' own hosts, 5 for hosts with one of
+    the name's first two words, 10 and up for trusted shops in their order, 50 for others; null for hosts left out."""
+    words = F.slice(F.split(F.trim(F.lower(name)), r"\s+"), 1, 2)
+    trusted = F.array_position(F.array(*map(F.lit, TRUSTED_HOSTS)), host)
+    place = F.when(contains_any(host, OFFICIAL_HOSTS), 0).when(F.exists(words, lambda w: F.contains(host, w)), 5).when(trusted > 0, (9 + trusted).cast("int")).otherwise(50)
+    return F.when(~contains_any(host, SKIPPED_RESULTS), place)
+
+
+def may_be_official(host: Column) -> Column:
+    return ~contains_any(host, NEVER_OFFICIAL)
+
+
+def looks_official(host: Column, title: Column, snippet: Column, brand: Column) -> Column:
+    """Whether a result looks like a brand's own site: the brand in its host, or words of its title or snippet."""
+    named = F.contains(F.translate(host, "-.", ""), F.translate(low(brand), " '", ""))
+    return named | contains_any(low(title), OFFICIAL_TITLES) | contains_any(low(snippet), OFFICIAL_SNIPPETS)
+
+
+def target_score(host: Column, position: Column, snippet: Column) -> Column:
+    """50, 30 for a priority host, up to 20 by position, 5 for each telling word; null for excluded hosts."""
+    words = sum((F.contains(low(snippet), F.lit(w)).cast("int") for w in TARGET_WORDS), F.lit(0))
+    score = 50 + F.when(contains_any(low(host), PRIORITY_HOSTS), 30).otherwise(0) + F.greatest(F.lit(0), 20 - 2 * position) + 5 * words
+    return F.when(~contains_any(low(host), EXCLUDED_HOSTS), score)
+
+
 def query_kind(query: Column) -> Column:
     return first_hit([(contains_any(low(query), words), kind) for kind, words in QUERY_KINDS], "spirits")
 

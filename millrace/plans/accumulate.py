@@ -46,6 +46,12 @@ def first_wins_lists(spark, folder):
     return A.first_lists(_lines(spark, folder), ["k"], "o", "items").select("k", F.array_join("values", "|").alias("items"))
 
 
+@query("refresh_lists", f"with {LINES}, e as (select k, o, unnest(items) as item, unnest([1, 2]) as i from w where len(items) > 0), g as (select k, lower(trim(item)) as key, arg_min(item, o * 10 + i) as item, min(o * 10 + i) as place from e group by 1, 2), l as (select k, string_agg(item, '|' order by place) as items from g group by 1) select n.k, any_value(l.items) as items, max(n.c) as confidence from n left join l on l.k = n.k group by 1")
+def refresh_lists(spark, folder):
+    """Lists refreshed: united whatever the confidence, of which the highest stays."""
+    return A.refresh_lists(_lines(spark, folder), ["k"], "o", "items", "c").select("k", F.array_join("values", "|").alias("items"), "confidence")
+
+
 #: Two records of a part: what is known, and what a source says.
 PAIR = {
     "k": "p_partkey",

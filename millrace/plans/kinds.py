@@ -311,3 +311,61 @@ def value_text(spark, folder):
     )
     flags = F.transform("f", lambda s: s["l_returnflag"])
     return lists.select("l_orderkey", N.as_text(flags, "array").alias("flags"), N.as_text(F.col("o"), "boolean").alias("open"), N.as_text(F.col("n"), "number").alias("lines"), N.as_text(F.lit(None).cast("array<string>"), "array").alias("nothing"))
+
+
+RESULT_HOSTS = [
+    "ardbeg.com", "amazon.com", "whisky.com", "glenoak.example", "drizly.com", "example.org", "m.facebook.com", "whiskybase.com", "shop.oak-isle.net", "wine-searcher.com", "quora.com", "masterofmalt.com", "decanter.com",
+]
+SOUGHT = ["Ardbeg Ten", "Oak Isle 12", "Glen", "Whisky Sour Mix", "Example Malt"]
+SNIPPETS = ["Best review of the top ten", "our distillery", "tasting score", "", "visit us at home"]
+HEADS = ["Welcome to us", "Shop", "Official", "Prices", "Reviews"]
+_R = f"p as (select page_id, page_id // 20 as q, row_number() over (partition by page_id // 20 order by page_id) as pos, {pick_sql(RESULT_HOSTS, 'page_id')} as d, {pick_sql(SOUGHT, 'page_id', 20)} as name, {pick_sql(SNIPPETS, 'page_id', 2)} as snippet, {pick_sql(HEADS, 'page_id', 3)} as title from pages)"
+
+
+def _results(spark, folder):
+    from millrace.operators.matching import ranked
+
+    rows = table(spark, folder, "pages").select(
+        "page_id", F.floor(F.col("page_id") / 20).alias("query_id"), U.host(F.concat(F.lit("https://www."), pick(RESULT_HOSTS, "page_id"), F.lit("/x"))).alias("d"), pick(SOUGHT, "page_id", 20).alias("name"),
+        pick(SNIPPETS, "page_id", 2).alias("snippet"), pick(HEADS, "page_id", 3).alias("title"),
+    )
+    return ranked(rows, ["query_id"], ["page_id"]).withColumnRenamed("rank", "pos")
+
+
+@query("serp_rank", f"""with {_R}, s as (select *, case when {any_sql('d', K.OFFICIAL_HOSTS)} then 0 when contains(d, string_split(lower(name), ' ')[1]) or coalesce(contains(d, string_split(lower(name), ' ')[2]), false) then 5 when list_contains([{', '.join(map(quoted, K.TRUSTED_HOSTS))}], d) then 9 + list_position([{', '.join(map(quoted, K.TRUSTED_HOSTS))}], d) else 50 end as prio from p where not {any_sql('d', K.SKIPPED_RESULTS)}),
+r as (select *, row_number() over (partition by q order by prio, pos) as rank from s) select q as query_id, page_id, rank::int as rank, prio::int as priority from r where rank <= 10""")
+def serp_rank(spark, folder):
+    """Twenty results of a search for a product: own hosts, named ones, trusted shops, others; the first ten."""
+    from millrace.operators.matching import ranked
+
+    scored = _results(spark, folder).withColumn("priority", K.result_priority(F.col("d"), F.col("name"))).filter("priority is not null")
+    return ranked(scored, ["query_id"], ["priority", "pos"], 10).select("query_id", "page_id", "rank", "priority")
+
+
+@query("official_site", f"""with {_R}, k as (select *, contains(translate(d, '-.', ''), translate(lower(name), ' ' || chr(39), '')) or regexp_matches(lower(title), 'official|home|welcome to') or regexp_matches(lower(snippet), 'official|our distillery|our whisky|visit us') as ok from p where not {any_sql('d', K.NEVER_OFFICIAL)})
+select q as query_id, arg_min(page_id, case when ok then pos else 1000 + pos end) as page_id from k where ok or pos <= 3 group by 1""")
+def official_site(spark, folder):
+    """The first result that looks official, else the first of the top three that may be."""
+    usable = _results(spark, folder).filter(K.may_be_official(F.col("d"))).withColumn("ok", K.looks_official(F.col("d"), F.col("title"), F.col("snippet"), F.col("name")))
+    usable = usable.filter(F.col("ok") | (F.col("pos") <= 3))
+    return usable.groupBy("query_id").agg(F.min_by("page_id", F.when(F.col("ok"), F.col("pos")).otherwise(1000 + F.col("pos"))).alias("page_id"))
+
+
+@query("target_priority", f"""with {_R}, s as (select *, 50 + 30 * {any_sql('d', K.PRIORITY_HOSTS)}::int + greatest(0, 20 - 2 * pos) + 5 * ({' + '.join(f"contains(lower(snippet), {quoted(w)})::int" for w in K.TARGET_WORDS)}) as priority from p where not {any_sql('d', K.EXCLUDED_HOSTS)}),
+r as (select *, row_number() over (partition by q order by priority desc, pos) as rank from s) select q as query_id, page_id, priority::int as priority, rank::int as rank from r where rank <= 10""")
+def target_priority(spark, folder):
+    """Targets of a search by host, position and words; the best ten."""
+    from millrace.operators.matching import ranked
+
+    scored = _results(spark, folder).withColumn("priority", K.target_score(F.col("d"), F.col("pos"), F.col("snippet")).cast("int")).filter("priority is not null")
+    return ranked(scored, ["query_id"], [F.desc("priority"), "pos"], 10).select("query_id", "page_id", "priority", "rank")
+
+
+@query("domain_filter", f"with {_R} select page_id, {any_sql('d', K.PRIORITY_HOSTS)} as trusted, {any_sql('d', K.EXCLUDED_HOSTS)} as excluded, regexp_matches(url, '(?i)(?:/en/|\\d{{3}})') as wanted from p join pages using (page_id)")
+def domain_filter(spark, folder):
+    """Whether a host has any of the listed parts, and a URL any of the patterns that compile."""
+    from millrace.sources.web import allowed
+
+    rows = _results(spark, folder).join(table(spark, folder, "pages").select("page_id", "url"), "page_id")
+    has = lambda hosts: K.contains_any(F.lower("d"), hosts)
+    return rows.select("page_id", has(K.PRIORITY_HOSTS).alias("trusted"), has(K.EXCLUDED_HOSTS).alias("excluded"), allowed(F.col("url"), ["/en/", "(", r"\d{3}"]).alias("wanted"))

@@ -221,36 +221,6 @@ def brand_resolve(spark, folder):
 HOST = r"regexp_replace(lower(regexp_extract(url, '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?', 2)), '^www\.', '')"
 
 
-@query("serp_rank", f"""with p as (select page_id, url, {HOST} as d, page_id // 20 as q from pages), s as (select *, case when contains(d, 'example.org') then 0 when contains(d, 'th') then 5 when contains(d, '.net') then 10 else 50 end as prio from p where not contains(d, 'm.')),
-r as (select *, row_number() over (partition by q order by prio, page_id) as rank from s) select q as query_id, page_id, rank::int as rank, prio as priority from r where rank <= 10""")
-def serp_rank(spark, folder):
-    """Twenty pages make a result list: skipped hosts go, official ones first, then named, trusted, others; top ten."""
-    pages = table(spark, folder, "pages").select("page_id", U.host(F.col("url")).alias("d"), F.floor(F.col("page_id") / 20).alias("query_id")).filter(~F.contains("d", F.lit("m.")))
-    has = lambda x: F.contains(F.col("d"), F.lit(x))
-    scored = pages.withColumn("priority", F.when(has("example.org"), 0).when(has("th"), 5).when(has(".net"), 10).otherwise(50))
-    return M.ranked(scored, ["query_id"], ["priority", "page_id"], 10).select("query_id", "page_id", "rank", "priority")
-
-
-@query("official_site", f"""with p as (select page_id, {HOST} as d, page_id // 20 as q, row_number() over (partition by page_id // 20 order by page_id) as pos from pages), k as (select *, contains(d, 'example.org') as ok from p where not contains(d, 'm.'))
-select q as query_id, arg_min(page_id, case when ok then pos else 1000 + pos end) as page_id from k where ok or pos <= 3 group by 1""")
-def official_site(spark, folder):
-    """The first official host of a list, else the first usable of its top three."""
-    pages = M.ranked(table(spark, folder, "pages").select("page_id", U.host(F.col("url")).alias("d"), F.floor(F.col("page_id") / 20).alias("query_id")), ["query_id"], ["page_id"])
-    usable = pages.filter(~F.contains("d", F.lit("m."))).withColumn("ok", F.contains("d", F.lit("example.org"))).filter(F.col("ok") | (F.col("rank") <= 3))
-    return usable.groupBy("query_id").agg(F.min_by("page_id", F.when(F.col("ok"), F.col("rank")).otherwise(1000 + F.col("rank"))).alias("page_id"))
-
-
-@query("target_priority", f"""with p as (select page_id, url, html, {HOST} as d, page_id // 25 as q, row_number() over (partition by page_id // 25 order by page_id) as pos from pages),
-s as (select *, 50 + case when contains(d, '.org') then 30 else 0 end + greatest(0, 20 - 2 * pos) + 5 * (contains(lower(html), 'sitemap')::int + contains(lower(url), 'en')::int) as priority from p), r as (select *, row_number() over (partition by q order by priority desc, pos) as rank from s)
-select q as query_id, page_id, priority::int as priority, rank::int as rank from r where rank <= 10""")
-def target_priority(spark, folder):
-    """50, 30 for a trusted host, up to 20 by position, 5 for each telling word; best ten of each list."""
-    pages = M.ranked(table(spark, folder, "pages").select("page_id", "url", "html", U.host(F.col("url")).alias("d"), F.floor(F.col("page_id") / 25).alias("query_id")), ["query_id"], ["page_id"]).withColumnRenamed("rank", "pos")
-    words = F.contains(F.lower("html"), F.lit("sitemap")).cast("int") + F.contains(F.lower("url"), F.lit("en")).cast("int")
-    score = 50 + F.when(F.contains("d", F.lit(".org")), 30).otherwise(0) + F.greatest(F.lit(0), 20 - 2 * F.col("pos")) + 5 * words
-    return M.ranked(pages.withColumn("priority", score), ["query_id"], [F.desc("priority"), "pos"], 10).select("query_id", "page_id", "priority", "rank")
-
-
 @query("url_union_topk", """with a as (select url, 0 as q, row_number() over (order by page_id) as pos from pages where page_id % 2 = 0), b as (select url, 1 as q, row_number() over (order by page_id desc) as pos from pages where page_id % 3 = 0),
 u as (select *, row_number() over (partition by url order by q, pos) as k from (select * from a union all select * from b)) select url from u where k = 1 order by q, pos limit 10""")
 def url_union_topk(spark, folder):

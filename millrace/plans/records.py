@@ -93,13 +93,6 @@ def cleanup_raw_content(spark, folder):
     return R.cleaned_up(rows, F.col("source_id") % 3 == 0).select(F.col("source_id").alias("page_id"), "raw_content")
 
 
-@query("domain_filter", r"select page_id, contains(regexp_replace(lower(regexp_extract(url, '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?', 2)), '^www\.', ''), 'example.org') as trusted, regexp_matches(url, '(?i)(?:/en/|\d{3})') as wanted from pages")
-def domain_filter(spark, folder):
-    """Whether a host has any of the listed parts, and a URL any of the patterns that compile."""
-    host = U.host(F.col("url"))
-    return table(spark, folder, "pages").select("page_id", F.exists(F.array(F.lit("example.org")), lambda d: F.contains(host, d)).alias("trusted"), W.allowed(F.col("url"), ["/en/", "(", r"\d{3}"]).alias("wanted"))
-
-
 @query("normalize_record", """with a as (select p_partkey as k, case when p_partkey % 2 = 0 then p_name end as name, p_type as product_name, case when p_partkey % 3 = 0 then p_brand end as brand, case when p_partkey % 5 > 0 then 'House' end as producer, case p_partkey % 4 when 0 then 'bourbon' when 1 then 'single_cask' end as kind, case when p_partkey % 7 = 0 then 'Own' end as category, case when p_partkey % 3 = 1 then p_size end as top_size from part)
 select k, coalesce(name, product_name) as name, coalesce(brand, producer) as brand, coalesce(category, case kind when 'bourbon' then 'Bourbon' when 'single_cask' then 'Single Cask' end) as category, case when k % 2 = 0 then 'own nose' else 'note' end as nose_description, coalesce(top_size, 7)::varchar as color_intensity from a""")
 def normalize_record(spark, folder):
