@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions import dom as D
 from millrace.functions import urls as U
 from millrace.operators import kinds as K
-from millrace.plans.kinds import pick, pick_sql
+from millrace.plans.kinds import pick
 from millrace.registry import query
 from millrace.sources.tables import table
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions import fuzzy
 from millrace.functions import names as N
-from millrace.functions import urls as U
 from millrace.operators import matching as M
 from millrace.registry import query
 from millrace.sources.tables import table
@@ -218,9 +217,6 @@ def brand_resolve(spark, folder):
     return found.withColumn("slug", F.trim(F.regexp_replace(F.lower("brand"), "[^a-z0-9]+", "-"), F.lit("-")))
 
 
-HOST = r"regexp_replace(lower(regexp_extract(url, '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?', 2)), '^www\.', '')"
-
-
 @query("url_union_topk", """with a as (select url, 0 as q, row_number() over (order by page_id) as pos from pages where page_id % 2 = 0), b as (select url, 1 as q, row_number() over (order by page_id desc) as pos from pages where page_id % 3 = 0),
 u as (select *, row_number() over (partition by url order by q, pos) as k from (select * from a union all select * from b)) select url from u where k = 1 order by q, pos limit 10""")
 def url_union_topk(spark, folder):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions import urls as U
 from millrace.operators import records as R
 from millrace.plans.texts import listed, listed_sql
 from millrace.registry import query
