@@ -65,6 +65,10 @@ def name_scores(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([known[p] for p in pairs], columns=["ratio", "partial", "token_sort", "token_set"])
 
 
+# The optimizer then keeps the scores where they are made, and doesn't make them again for each test of them.
+name_scores = name_scores.asNondeterministic()
+
+
 @F.pandas_udf(T.StringType())
 def ascii_name(name: pd.Series) -> pd.Series:
     """A name's compatibility decomposition without what isn't ASCII, for scripts beyond the fixed table."""

@@ -189,6 +189,12 @@ def cascade(probes: DataFrame, products: DataFrame) -> DataFrame:
     return found.select("probe_id", F.coalesce("by_gtin", "by_print").alias("product_id"), method.alias("method"), sure.alias("confidence"))
 
 
+def spread(pairs: DataFrame) -> DataFrame:
+    """Pairs dealt out evenly before Python compares them: few bytes of pairs are much work, which adaptive execution,
+    going by bytes, would leave to a task or two."""
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*pairs.columns))
+
+
 def fuzzy_matches(probes: DataFrame, products: DataFrame, cap: int = 100, threshold: float = 0.85) -> DataFrame:
     """(probe_id, product_id, score, confidence) of the fuzzy stage: each probe's best accepted product.
 
@@ -214,7 +220,7 @@ def fuzzy_matches(probes: DataFrame, products: DataFrame, cap: int = 100, thresh
     listed = listed.join(asked.select("brand_plain", "asked_kind").distinct(), ["brand_plain", "asked_kind"], "left_semi")
     newest = Window.partitionBy("brand_plain", "asked_kind").orderBy(F.desc("discovered"), "product_id")
     listed = listed.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= cap)
-    pairs = left.join(listed, ["brand_plain", "asked_kind"]).withColumn("s", fuzzy.name_scores("plain", "p_plain"))
+    pairs = spread(left.join(listed, ["brand_plain", "asked_kind"])).withColumn("s", fuzzy.name_scores("plain", "p_plain"))
     same = (F.col("brand_plain") != "") & (F.col("brand_plain") == F.col("p_brand"))
     near = F.coalesce((F.col("abv") != 0) & (F.col("p_abv") != 0) & (F.abs(F.col("abv") - F.col("p_abv")) < 0.5), F.lit(False))
     score, accepted = fuzzy_score(F.col("s"), same, near)
@@ -267,7 +273,7 @@ def deduplicate(probes: DataFrame, products: DataFrame, cap: int = 100) -> DataF
     listed = listed.withColumn("of_kind", F.explode(F.array_distinct(F.array("k", F.lit(""))))).join(rest.select("by", "of_kind").distinct(), ["by", "of_kind"], "left_semi")
     newest = Window.partitionBy("by", "of_kind").orderBy(F.desc("discovered"), "product_id")
     listed = listed.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= cap)
-    scored = rest.join(listed, ["by", "of_kind"]).withColumn("score", dedup_similarity(F.col("a"), F.col("b"), fuzzy.sequence_ratio("a", "b")))
+    scored = spread(rest.join(listed, ["by", "of_kind"])).withColumn("score", dedup_similarity(F.col("a"), F.col("b"), fuzzy.sequence_ratio("a", "b")))
     best = scored.groupBy("probe_id").agg(F.min(F.struct((-F.col("score")).alias("c"), "rn", "product_id")).alias("m")).select("probe_id", F.col("m.product_id").alias("near"), (-F.col("m.c")).alias("score"))
     found = exact.join(best, "probe_id", "left")
     sure, likely = F.col("method") != "new", F.coalesce(F.col("score") >= 0.65, F.lit(False))

@@ -189,7 +189,7 @@ def skeleton_match(spark, folder):
     probes = names.filter("id % 20 = 0").select(F.col("n").alias("a"), F.col("id").alias("probe_id"))
     others = names.filter("id % 20 <> 0").select(F.col("n").alias("b"), F.col("id").alias("candidate_id"))
     pairs = M.rare_word_pairs(probes, others).join(probes, "probe_id").join(others, "candidate_id")
-    scored = pairs.withColumn("s", fuzzy.name_scores("a", "b"))
+    scored = M.spread(pairs).withColumn("s", fuzzy.name_scores("a", "b"))
     scored = scored.withColumn("score", F.greatest("s.ratio", "s.partial", "s.token_sort", "s.token_set")).filter("score >= 85")
     return M.greedy_pairs(scored.select(F.col("probe_id").alias("probe_order"), "probe_id", "candidate_id", "score"))
 
