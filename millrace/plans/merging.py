@@ -97,8 +97,11 @@ select l_partkey, array_to_string(list_filter(vs, lambda v, i: list_position([lo
 def array_merge_ci(spark, folder):
     lines = table(spark, folder, "lineitem")
     value = F.when(F.col("l_linenumber") % 3 == 0, F.upper("l_returnflag")).when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit(" "), F.lower("l_returnflag"))).otherwise(F.col("l_linestatus"))
-    lists = lines.groupBy("l_partkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", value.alias("v")))), lambda s: s["v"]).alias("vs"))
-    return lists.select("l_partkey", F.array_join(M.merged_list(F.col("vs")), "|").alias("merged"))
+    # Null keys come last, as in the SQL; of lines with equal keys, whose order it leaves open, the smaller value is first.
+    keys = [c for k in ("l_orderkey", "l_linenumber") for c in (F.col(k).isNull().alias(f"no_{k}"), F.col(k))]
+    lists = lines.groupBy("l_partkey").agg(F.transform(F.array_sort(F.collect_list(F.struct(*keys, value.alias("v")))), lambda s: s["v"]).alias("vs"))
+    merged = M.merged_list(F.col("vs"))
+    return lists.select("l_partkey", F.when(F.size(merged) > 0, F.array_join(merged, "|")).alias("merged"))
 
 
 @query("ecp", f"""with {FIELD_SOURCES_SQL}, g(group_key, field_name) as (values ('identity', 'name'), ('identity', 'type'), ('identity', 'brand'), ('measures', 'size'), ('measures', 'abv')),
