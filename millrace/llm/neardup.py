@@ -12,14 +12,15 @@ as one node before that, by an aggregation. In each bucket all nodes are paired
 input and not with a group's square; a pair's multiset overlap is verified exactly on 64-bit shingle hashes. Verified
 links give components. Texts that share a common passage meet in large buckets although they are far apart; nodes of
 buckets with over ``LARGE`` rows and several components meet by the finer bands of a second, independent signature
-instead. In buckets that then still hold several components, all pairs of nodes of different components are compared
-inside tasks, in blocks of at most ``BLOCK`` x ``BLOCK`` nodes and ``BLOCK_ITEMS`` occurrences on average, first by
-sketches and then, for nodes that a sketch left a partner, by their multisets. Only links leave a task, fewer than it
-has nodes, and pairs of two nodes of a bucket's largest component aren't looked at, so no list of pairs is made.
+instead, unless comparing the bucket in blocks makes no more rows than these bands would. In buckets that then still
+hold several components, all pairs of nodes of different components are compared inside tasks, in blocks of at most
+``BLOCK`` x ``BLOCK`` nodes and ``BLOCK_ITEMS`` occurrences on average, first by sketches and then, for nodes that a
+sketch left a partner, by their multisets. Only links leave a task, fewer than it has nodes, and pairs of two nodes of a
+bucket's largest component aren't looked at, so no list of pairs is made.
 
 Chance of a miss, for a pair at 0.8 exactly: it agrees on no band of the first signature with (1 - 0.8**5)**25, 5e-5;
-if it agrees on bands in large open buckets only, it agrees on none of the finer bands with (1 - 0.8**10)**90, 4e-5.
-Both fall quickly as the similarity grows (4e-6 and 3e-7 at 0.83). Pairs of smaller buckets meet for certain.
+if it agrees on bands in such split buckets only, it agrees on none of the finer bands with (1 - 0.8**10)**90, 4e-5.
+Both fall quickly as the similarity grows (4e-6 and 3e-7 at 0.83). Pairs of all other buckets meet for certain.
 
 Everything stays in DataFrames: links, components and buckets are never collected. Keys with many rows (copies,
 common buckets) are aggregated first and joined by ``lookup``. Rounds end in tables in the shared folder.
@@ -36,7 +37,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lookup, map_arrow, read_table, scratch, written
@@ -47,7 +48,7 @@ BANDS, ROWS, LEAST = 25, 5, 0.8
 #: Pairs whose sketches agree on less than ``least`` - SLACK of the components aren't looked at further: that is over
 #: five standard deviations below what the similarity gives.
 SLACK = 0.2
-#: Buckets with more open rows are split by finer bands.
+#: Buckets with more open rows are split by finer bands, where these make fewer rows than blocks.
 LARGE, FINE_BANDS, FINE_ROWS = 64, 90, 10
 #: Links that one task contracts.
 LINKS = 500_000
@@ -264,6 +265,25 @@ def beside(rows: DataFrame, *tables: DataFrame) -> DataFrame:
     return listed.select("node", F.explode("rows").alias("r"), *more).select("node", "r.*", *more)
 
 
+def block_counts() -> tuple[Column, Column, Column]:
+    """Of an open row's bucket: the blocks of its largest component, those of its other rows, whether it is one block."""
+    parts = lambda n, items: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK)), F.ceil(items / F.lit(BLOCK_ITEMS))).cast("int")
+    n_major = parts(F.col("rows") - F.col("minor"), F.col("items") - F.col("minor_items"))
+    return n_major, parts(F.col("minor"), F.col("minor_items")), (F.col("rows") <= BLOCK) & (F.col("items") <= BLOCK_ITEMS)
+
+
+def split_further(bands: int) -> Column:
+    """Whether an open row's bucket goes to finer bands: it is large, and its blocks would make more rows than those.
+
+    A node has FINE_BANDS finer rows, whatever the number of its buckets, of which there are at most ``bands``. So blocks
+    in which a bucket's rows appear at most FINE_BANDS / bands times on average make no more rows, and miss no pair.
+    """
+    n_major, n_minor, single = block_counts()
+    major, minor = F.col("rows") - F.col("minor"), F.col("minor")
+    made = F.when(single, F.col("rows")).otherwise(major * n_minor + minor * (n_major + n_minor))
+    return (F.col("rows") > LARGE) & (made * bands > F.col("rows") * FINE_BANDS)
+
+
 def blocks(rows: DataFrame, *more: str) -> DataFrame:
     """Open rows with (i, j), the pairs of a bucket's blocks that they belong to, and the columns ``more``.
 
@@ -271,10 +291,7 @@ def blocks(rows: DataFrame, *more: str) -> DataFrame:
     and all other rows have blocks of their own, numbered from 0 down and from 1 up; every block meets each of the
     others' blocks.
     """
-    parts = lambda n, items: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK)), F.ceil(items / F.lit(BLOCK_ITEMS))).cast("int")
-    n_major = parts(F.col("rows") - F.col("minor"), F.col("items") - F.col("minor_items"))
-    n_minor = parts(F.col("minor"), F.col("minor_items"))
-    single = (F.col("rows") <= BLOCK) & (F.col("items") <= BLOCK_ITEMS)
+    n_major, n_minor, single = block_counts()
     hashed = F.xxhash64("node")
     own = F.when(F.col("comp") == F.col("major"), -F.pmod(hashed, n_major)).otherwise(1 + F.pmod(hashed, n_minor)).cast("int")
     others = F.when(F.col("comp") == F.col("major"), F.sequence(F.lit(1), n_minor)).otherwise(F.sequence(1 - n_major, n_minor))
@@ -396,11 +413,11 @@ def classes_of(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows:
         # Components are joined to nodes, and their bands listed after that. The pair of a bucket of two is done.
         banded = nodes.select("node", "n", "bands").join(comp, "node").select(F.explode("bands").alias("bucket"), "node", "n", "comp")
         open_rows = still_open(banded, total * bands, 3)
-        large = written(open_rows.filter(F.col("rows") > LARGE).select("node", "comp").distinct(), "large-bucket-nodes", near_rows)
+        large = written(open_rows.filter(split_further(bands)).select("node", "comp").distinct(), "large-bucket-nodes", near_rows)
         if not large.isEmpty():
             some = large.count()
             fine = still_open(written(refined(sets, large), "fine-bands", some, 500), some * FINE_BANDS)
-            open_rows = open_rows.filter(F.col("rows") <= LARGE).unionByName(fine)
+            open_rows = open_rows.filter(~split_further(bands)).unionByName(fine)
         if not open_rows.isEmpty():
             comp = relabelled(comp, written(within(open_rows, sketches, sets, least), "links", open_rows.count(), 2_000), near_rows)
         final = nodes.join(comp, "node", "left").select("key", F.coalesce("comp", "node").alias("class_id"), "copies")

@@ -133,6 +133,30 @@ def test_borderline_pairs_that_all_share_a_passage(spark):
     assert len(set(want)) == 150 and [got[i] for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("block, split", [(256, False), (8, True)])
+def test_buckets_are_split_only_where_that_makes_fewer_rows(spark, monkeypatch, block, split):
+    # Buckets of up to 120 rows: in few blocks they are compared as they are, in many they go to finer bands.
+    monkeypatch.setattr(N, "BLOCK", block)
+    asked, refined = [], N.refined
+    monkeypatch.setattr(N, "refined", lambda sets, nodes: asked.append(nodes.count()) or refined(sets, nodes))
+    passage, texts = words(random.Random(1), 300), []
+    for seed in range(60):
+        rng = random.Random(10**7 + seed)
+        both = words(rng, 8)
+        texts += [" ".join(passage + both + words(rng, 36)) for _ in range(2)]
+    got = {r.doc_id: r.class_id for r in N.classes_of(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == classes(texts) and bool(asked) == split
+
+
+def test_blocks_make_no_more_rows_than_finer_bands(spark):
+    columns = "bucket bigint, node bigint, n bigint, comp bigint, major bigint, minor bigint, minor_items bigint, items bigint, rows bigint"
+    for major, minor, split in ((1, 64, False), (1, 300, False), (1, 900, True), (3000, 200, False), (2000, 700, True)):
+        total = major + minor
+        rows = spark.createDataFrame([(9, n, 10, 0 if n < major else n, 0, minor, minor * 10, total * 10, total) for n in range(total)], columns)
+        assert rows.filter(N.split_further(N.BANDS)).count() == (total if split else 0)
+        assert split == (N.blocks(rows).count() * N.BANDS > total * N.FINE_BANDS)
+
+
 @pytest.mark.parametrize("items", [40, 10**6])
 def test_heavy_buckets_are_cut_into_blocks(spark, monkeypatch, items):
     monkeypatch.setattr(N, "BLOCK_ITEMS", items)
